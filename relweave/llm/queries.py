@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relweave.llm import leakage, lookalike, mixing, overlap
 from relweave.llm.topn import top_n_per_group
 from relweave.session import table
 
@@ -28,9 +29,105 @@ def _p5_sql() -> str:
     return " UNION ALL ".join(part.format(r=r) for r in RELATIONS)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split_pairs(table(spark, d, "data_info"), table(spark, d, "test_raw"), 0.65)
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "data_info"), table(spark, d, "test_raw"), 0.65)
+
+
+def p2_weighted_links(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split_links(table(spark, d, "data_info"), table(spark, d, "test_raw"), 0.8, "idf")
+
+
+_P2_SQL = """
+WITH a AS (SELECT DISTINCT identifier, list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS words FROM data_info WHERE regexp_matches(text, '[\\p{L}\\p{N}]')),
+b AS (SELECT DISTINCT identifier, split, dataset, list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS words FROM test_raw WHERE regexp_matches(text, '[\\p{L}\\p{N}]')),
+sa AS (SELECT words, count(*) AS size, row_number() OVER () AS l FROM a GROUP BY words),
+sb AS (SELECT words, row_number() OVER () AS r FROM b GROUP BY words),
+shared AS (SELECT x.l, y.r, count(*) AS n FROM (SELECT l, unnest(words) AS w FROM sa) x JOIN (SELECT r, unnest(words) AS w FROM sb) y ON x.w = y.w GROUP BY ALL),
+close AS (SELECT sa.words AS lw, sb.words AS rw, sa.size FROM shared JOIN sa USING (l) JOIN sb USING (r) WHERE n * 100 >= 65 * (len(sa.words) + len(sb.words) - n))
+"""
+
+_P6_SQL = """
+WITH iw AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: true) AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+ik AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 11], ' ') AS run FROM iw, unnest(range(1, greatest(len(w) - 10, 1))) AS t(k)),
+dk AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 11], ' ') AS run FROM dw, unnest(range(1, greatest(len(w) - 10, 1))) AS t(k))
+"""
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_looking_pairs(_label_and_test(spark, d))
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.with_form(_label_and_test(spark, d), ["identifier"]).select("identifier", "form").distinct()
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_classes(_label_and_test(spark, d))
+
+
+def _label_and_test(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "label_raw").select("identifier", "text").unionByName(table(spark, d, "test_raw").select("identifier", "text"))
+
+
+def _p4_sql(rest: str) -> str:
+    rows = "SELECT identifier, text FROM label_raw UNION SELECT identifier, text FROM test_raw"
+    return f"WITH r AS ({rows}), f AS (SELECT identifier, text, {lookalike.form_sql('text')} AS form FROM r) {rest}"
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_runs(table(spark, d, "eval_items"), table(spark, d, "documents"), 12)
+
+
+def p6_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "eval_items"), table(spark, d, "documents"))
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items").select("item_id", "dataset", "split")
+    found = p6_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    return items.join(found, "item_id").select("item_id", "dataset", "split", "n_documents")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_report": p2_report, "p2_weighted_links": p2_weighted_links,
+    "p4_found": p4_found, "p4_forms": p4_forms, "p4_classes": p4_classes,
+    "p5_found": p5_found,
+    "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_items": p6_items,
+    "p7_mix": p7_mix, "p7_shares": p7_shares,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": _p5_sql()}
+    return {
+        "p2_found": _P2_SQL + "SELECT DISTINCT a.identifier AS train_id, b.identifier AS test_id FROM close JOIN a ON a.words = lw JOIN b ON b.words = rw",
+        "p2_report": _P2_SQL
+        + """, per AS (SELECT rw, sum(size) AS pairs, sum(CASE WHEN lw = rw THEN size ELSE 0 END) AS equal FROM close GROUP BY rw)
+            SELECT split, dataset, count(*) AS n_records, count(pairs) AS n_overlapping, coalesce(sum(pairs), 0)::BIGINT AS n_pairs, coalesce(sum(equal), 0)::BIGINT AS n_equal
+            FROM b LEFT JOIN per ON b.words = rw GROUP BY split, dataset""",
+        "p4_found": _p4_sql(
+            """SELECT DISTINCT a.identifier AS id_a, b.identifier AS id_b FROM f a JOIN f b ON a.form = b.form
+            WHERE a.text <> b.text AND a.identifier < b.identifier AND a.text <> '' AND b.text <> ''"""
+        ),
+        "p4_forms": _p4_sql("SELECT DISTINCT identifier, form FROM f"),
+        "p4_classes": _p4_sql(", c AS (SELECT form, count(DISTINCT text) AS n_texts FROM f WHERE text <> '' GROUP BY form) SELECT DISTINCT identifier, md5(form) AS class_id, n_texts FROM f JOIN c USING (form) WHERE text <> ''"),
+        "p5_found": _p5_sql(),
+        "p6_found": _P6_SQL + "SELECT DISTINCT item_id, doc_id FROM ik JOIN dk USING (run)",
+        "p6_items": _P6_SQL + "SELECT item_id, dataset, split, count(DISTINCT doc_id) AS n_documents FROM ik JOIN dk USING (run) JOIN eval_items USING (item_id) GROUP BY ALL",
+    }
