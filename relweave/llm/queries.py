@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import leakage, lookalike, mixing, overlap
+from relweave.llm import leakage, lookalike, mixing, mojibake, overlap
 from relweave.llm.topn import top_n_per_group
 from relweave.session import table
 
@@ -101,12 +101,21 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_documents(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_documents(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_report": p2_report, "p2_weighted_links": p2_weighted_links,
     "p4_found": p4_found, "p4_forms": p4_forms, "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_items": p6_items,
     "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_restored": p8_restored,
 }
 
 
