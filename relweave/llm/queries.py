@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import leakage, lookalike, mixing, mojibake, overlap
+from relweave.llm import knn, leakage, lookalike, mixing, mojibake, overlap
 from relweave.llm.topn import top_n_per_group
 from relweave.session import table
 
@@ -109,7 +109,16 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled_documents(table(spark, d, "documents"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return knn.similar_pairs(table(spark, d, "text_vectors"), 0.85)
+
+
+def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return knn.nearest_vectors(table(spark, d, "text_vectors"))
+
+
 QUERIES = {
+    "p1_found": p1_found, "p1_nearest": p1_nearest,
     "p2_found": p2_found, "p2_report": p2_report, "p2_weighted_links": p2_weighted_links,
     "p4_found": p4_found, "p4_forms": p4_forms, "p4_classes": p4_classes,
     "p5_found": p5_found,
