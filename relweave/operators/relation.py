@@ -138,7 +138,7 @@ def row_minmax(r: DataFrame, drop_zero: bool = True) -> DataFrame:
 
 def from_lists(df: DataFrame, row: str, items: str) -> DataFrame:
     """Cells of rows with arrays of column indexes; an index that repeats adds up. Null and empty arrays give no cells."""
-    return df.select(F.col(row).cast("bigint").alias(R), F.explode(items).cast("bigint").alias(C)).dropna().groupBy(R, C).agg(F.count("*").cast("double").alias(S))
+    return df.select(F.col(row).cast("bigint").alias(R), F.explode(F.col(items).cast("array<bigint>")).alias(C)).dropna().groupBy(R, C).agg(F.count("*").cast("double").alias(S))
 
 
 def mean_by_column(r: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relweave.plans import records
+from relweave.plans import records, relations
 
-MODULES = (records,)
+MODULES = (records, relations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relweave.sources.readers import RELATION
 
 
 def read_cells(spark: SparkSession, path: str, time: str = "scored_at") -> DataFrame:
     """Cells that arrive as Parquet files."""
-    schema = RELATION.add(time, "timestamp") if time not in RELATION.names else RELATION
+    schema = T.StructType([*RELATION.fields, T.StructField(time, T.TimestampType())])
     return spark.readStream.schema(schema).parquet(path)
 
 
