@@ -105,18 +105,27 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
     """
     out_weight = edges.groupBy("src").agg(F.sum("weight").alias("total")).filter("total > 0")
     transition = cut(edges.join(out_weight, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
+    # kept by source, so that no round shuffles the edges again; what an executor loses is read from the table again
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    transition = transition.repartition(parts, "src").sortWithinPartitions("src").persist()
     r = cut(seeds.select("query", "node", F.col("weight").cast("double").alias("r")))
+    reached = transition.select(F.col("dst").alias("node")).unionByName(r.select("node")).distinct()
+    ends = cut(reached.join(transition.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
+    # without dead ends a round uses the one before once, and several rounds make one plan
+    dead_ends = ends.limit(1).count() > 0
+    every = 1 if dead_ends else CUT_EVERY
+    restart = r.select("query", "node", ((1 - damping) * F.col("r")).alias("y"))
     x = r.select("query", "node", F.col("r").alias("x"))
     before = x
     for k in range(1, rounds + 1):
-        moved = x.join(transition, F.col("node") == F.col("src")).groupBy("query", F.col("dst").alias("node")).agg(F.sum(F.col("x") * F.col("p")).alias("y"))
-        # mass that found an edge stays in the walk; the rest returns to the seeds
-        kept = moved.groupBy("query").agg(F.sum("y").alias("kept"))
-        back = r.join(kept, "query", "left").select("query", "node", (F.col("r") * ((1 - damping) + damping * (1 - F.coalesce("kept", F.lit(0.0))))).alias("y"))
-        x = moved.withColumn("y", damping * F.col("y")).unionByName(back).groupBy("query", "node").agg(F.sum("y").alias("x"))
-        if k % CUT_EVERY == 0 or k == rounds:
+        parts = x.join(transition, F.col("node") == F.col("src")).select("query", F.col("dst").alias("node"), (damping * F.col("x") * F.col("p")).alias("y")).unionByName(restart)
+        if dead_ends:
+            lost = x.join(ends, "node", "left_semi").groupBy("query").agg(F.sum("x").alias("lost"))
+            parts = parts.unionByName(r.join(lost, "query").select("query", "node", (damping * F.col("r") * F.col("lost")).alias("y")))
+        x = parts.groupBy("query", "node").agg(F.sum("y").alias("x"))
+        if k % every == 0 or k == rounds:
             x = cut(x)
-            if tolerance is not None:
+            if tolerance is not None and (k % CUT_EVERY == 0 or k == rounds):
                 change = x.join(before.withColumnRenamed("x", "b"), ["query", "node"], "full").groupBy("query").agg(F.sum(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))).alias("c"))
                 if (change.agg(F.max("c")).first()[0] or 0.0) < tolerance:
                     break

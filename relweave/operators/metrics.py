@@ -35,9 +35,23 @@ def per_query(run: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5, 10)
     Every cell of the truth is relevant, whatever its score. One pass over the hits computes all.
     """
     hits = judged(run, truth, max(ks)).select("row_idx", "rank")
+    return _from_hits(hits, truth.groupBy("row_idx").agg(F.count("*").alias("n_rel")), ks)
+
+
+def per_query_by_label(run: DataFrame, labels: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """As ``per_query`` with the other items of the same label as truth; ``labels`` is (idx, label). The truth, which would
+    have a cell for each pair of a label, is never spelt out. Items alone with their label do not count."""
+    best = ranked(run).filter(F.col("rank") <= max(ks))
+    of = labels.select("idx", "label").dropna().dropDuplicates(["idx"])
+    hits = best.join(of.select(F.col("idx").alias("row_idx"), "label"), "row_idx").join(of.select(F.col("idx").alias("col_idx"), F.col("label").alias("other")), "col_idx")
+    sizes = of.groupBy("label").agg((F.count("*") - 1).alias("n_rel")).filter("n_rel > 0")
+    sizes = of.join(sizes, "label").select(F.col("idx").alias("row_idx"), "n_rel")
+    return _from_hits(hits.filter("label = other").select("row_idx", "rank"), sizes, ks)
+
+
+def _from_hits(hits: DataFrame, sizes: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("row_idx").orderBy("rank"))
     hits = hits.withColumn("nth", nth)
-    sizes = truth.groupBy("row_idx").agg(F.count("*").alias("n_rel"))
     sums = []
     for k in ks:
         in_k = F.col("rank") <= k
