@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,3 +75,17 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, wherever they run and whatever their path is."""
+    sc = spark.sparkContext
+    if getattr(sc, "_relweave_shipped", False):
+        return
+    package = Path(__file__).parent
+    file = Path(tempfile.mkdtemp(prefix="relweave-")) / "relweave.zip"
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(file))
+    sc._relweave_shipped = True
