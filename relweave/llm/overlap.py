@@ -4,9 +4,10 @@ Every text becomes a vector over its different words. Texts with the same words
 nothing in the join. The words of a vector stand rarest first, by one order for both sides, and the vector is indexed
 only up to the word from which on the norm of the rest, the residual, is below the threshold: by Cauchy-Schwarz two
 vectors that share no indexed word stay below the threshold. Two more bounds drop what the inverted lists bring
-together: the number of words times the maximum weights, and at each shared word its product plus the product of
-the residuals behind it. Both hold at the first shared word of a pair, so no pair is lost. What remains gets its
-exact dot product.
+together: the number of words that can be shared times the maximum weights, and at each shared word its product plus
+the product of the residuals behind it. Both hold at the first shared word of a pair, so no pair is lost. How many
+words can be shared is bounded by a signature of 64 bits: each bit that only one side has set stands for at least one
+word of its own. What remains gets its exact dot product.
 """
 
 from __future__ import annotations
@@ -54,7 +55,8 @@ def weighted_cosine_join(left: DataFrame, right: DataFrame, threshold: float, we
     if weights not in ("uniform", "idf"):
         raise ValueError(f"unknown weights {weights!r}")
     both = left.select(F.lit(0).alias("side"), "class_id", "words").unionByName(right.select(F.lit(1).alias("side"), "class_id", "words"))
-    postings = both.select("side", "class_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    signature = F.expr("aggregate(words, 0L, (s, w) -> s | shiftleft(1L, cast(pmod(xxhash64(w), 64) AS int)))")
+    postings = both.select("side", "class_id", F.size("words").alias("n"), signature.alias("signature"), F.explode("words").alias("word"))
     lists = postings.groupBy("word").agg(F.count("*").alias("df"))
     if weights == "idf":
         total = both.agg(F.count("*").cast("double").alias("total"))  # one row
@@ -70,7 +72,7 @@ def weighted_cosine_join(left: DataFrame, right: DataFrame, threshold: float, we
         .withColumn("max_w", F.max("w").over(whole))
         .filter(F.col("rest") >= (threshold * threshold - EPS) * F.col("norm2"))
         .select(
-            "side", "class_id", "word", "n",
+            "side", "class_id", "word", "n", "signature",
             (F.col("w") / F.sqrt("norm2")).alias("w"),
             (F.col("max_w") / F.sqrt("norm2")).alias("max_w"),
             F.sqrt(F.greatest(F.lit(0.0), (F.col("rest") - F.col("w") * F.col("w")) / F.col("norm2"))).alias("residual"),
@@ -78,8 +80,11 @@ def weighted_cosine_join(left: DataFrame, right: DataFrame, threshold: float, we
     )
     indexed = cut(indexed)
     a, b = indexed.filter("side = 0").alias("a"), indexed.filter("side = 1").alias("b")
+    own_a = F.bit_count(F.col("a.signature").bitwiseAND(F.bitwise_not("b.signature")))
+    own_b = F.bit_count(F.col("b.signature").bitwiseAND(F.bitwise_not("a.signature")))
+    shareable = F.least(F.col("a.n") - own_a, F.col("b.n") - own_b)
     met = (F.col("a.word") == F.col("b.word")) & (
-        F.least("a.n", "b.n") * F.col("a.max_w") * F.col("b.max_w") >= threshold - EPS
+        shareable * F.col("a.max_w") * F.col("b.max_w") >= threshold - EPS
     ) & (F.col("a.w") * F.col("b.w") + F.col("a.residual") * F.col("b.residual") >= threshold - EPS)
     pairs = a.join(b, met).select(F.col("a.class_id").alias("left_class"), F.col("b.class_id").alias("right_class")).distinct()
     if weights == "idf":
