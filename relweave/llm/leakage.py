@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relweave.session import cut
+from relweave.session import cut, spread
 
 #: Fixed masks over 12 words; 1 selects a position. All have the span 12, so a run of 12 equal words matches under each.
 MASKS = ("111011010111", "110101101111", "101110111011")
@@ -216,7 +216,7 @@ def leaks(items: DataFrame, documents: DataFrame, item_id: str = "item_id", doc_
     item_windows = cut(i.mapInArrow(_windows(None), schema))
     bits = _bit_array(item_windows)
     shipped = items.sparkSession.sparkContext.broadcast(bits)  # at most MAX_BITS / 8 bytes
-    doc_windows = d.mapInArrow(lambda batches: _windows(shipped.value)(batches), schema)
+    doc_windows = spread(d).mapInArrow(lambda batches: _windows(shipped.value)(batches), schema)
     hits = (
         doc_windows.select("mask", "hash", F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"))
         .join(item_windows.select("mask", "hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos")), ["mask", "hash"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relweave.session import cut
+from relweave.session import cut, spread
 
 # Letters of other alphabets that have the shape of a basic Latin letter (Unicode TR39).
 LOOK_ALIKES = {
@@ -100,7 +100,7 @@ def with_form(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     rows = df.select(*keys, F.col(text).alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", text string, form string"
-    return rows.mapInArrow(_forms([*keys, "text"]), schema)
+    return spread(rows).mapInArrow(_forms([*keys, "text"]), schema)
 
 
 def same_looking_pairs(df: DataFrame, key: str = "identifier", text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relweave.session import cut
+from relweave.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bins of the histogram of uniform numbers, per source.
@@ -70,7 +70,7 @@ def source_name(source: Column) -> Column:
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens) of every document; a null text has no tokens."""
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("source"), "text")
-    return rows.mapInArrow(_counted(tokenizer), "doc_id bigint, source string, n_tokens bigint")
+    return spread(rows).mapInArrow(_counted(tokenizer), "doc_id bigint, source string, n_tokens bigint")
 
 
 @dataclass(frozen=True)
