@@ -216,6 +216,20 @@ def multi_hop(r: DataFrame, most_labels: int = 4) -> DataFrame:
     return out
 
 
+def expanded_queries(paths: DataFrame, queries: DataFrame, labels: DataFrame, separator: str = " [SEP] ") -> DataFrame:
+    """(identifier, text): for each path of ``multi_hop`` the query's text and those of its labels in order. Paths with a
+    label or query that has no text are left out; both tables are (idx, identifier, text)."""
+    steps = paths.select("row_idx", "path", F.posexplode_outer("path").alias("pos", "col_idx"))
+    named = steps.join(labels.select(F.col("idx").alias("col_idx"), F.col("text").alias("label")).dropDuplicates(["col_idx"]), "col_idx", "left")
+    order = F.array_sort(F.collect_list(F.struct("pos", "col_idx", "label")))
+    whole = named.groupBy("row_idx", "path").agg(F.filter(order, lambda x: x["pos"].isNotNull()).alias("steps"))
+    whole = whole.filter(F.forall("steps", lambda x: x["label"].isNotNull()))
+    q = queries.filter("text IS NOT NULL").select(F.col("idx").alias("row_idx"), "text").dropDuplicates(["row_idx"])
+    name = F.concat(F.lit("qry-"), F.col("row_idx").cast("string"), F.array_join(F.transform("steps", lambda x: F.concat(F.lit("_lbl-"), x["col_idx"].cast("string"))), ""))
+    text = F.concat(F.col("text"), F.array_join(F.transform("steps", lambda x: F.concat(F.lit(separator), x["label"])), ""))
+    return whole.join(q, "row_idx").select(name.alias("identifier"), text.alias("text"))
+
+
 def beam_hops(start: DataFrame, step: DataFrame, hops: int, per_hop: int, beam: int) -> DataFrame:
     """(row_idx, path, score): paths of ``hops`` steps over ``step``; each path goes on to its ``per_hop`` best columns that
     it has not visited, and each row keeps its ``beam`` best paths. A path's score is the product of its scores."""

@@ -188,6 +188,22 @@ def multihop_expand(spark, d):
     return graph.multi_hop(r, 3).select("row_idx", join("path"), join("rest"))
 
 
+@query(
+    f"""WITH RECURSIVE l AS MATERIALIZED (SELECT row_idx, list(col_idx ORDER BY col_idx) AS rest FROM {_TOP3} GROUP BY row_idx),
+    x(row_idx, path, rest) AS (SELECT row_idx, []::BIGINT[], rest FROM l UNION ALL
+      SELECT row_idx, list_append(path, pick), list_filter(rest, lambda y: y <> pick) FROM (SELECT row_idx, path, rest, unnest(rest) AS pick FROM x)),
+    s AS (SELECT row_idx, path, unnest(path) AS col_idx, generate_subscripts(path, 1) AS pos FROM x),
+    g AS (SELECT row_idx, path, string_agg('_lbl-' || s.col_idx, '' ORDER BY pos) AS names, string_agg(' [SEP] ' || t.text, '' ORDER BY pos) AS texts, count(*) AS n, count(t.text) AS m
+      FROM s LEFT JOIN {info_sql('label_raw')} t ON s.col_idx = t.idx GROUP BY row_idx, path)
+    SELECT 'qry-' || x.row_idx || coalesce(names, '') AS identifier, q.text || coalesce(texts, '') AS text FROM x LEFT JOIN g USING (row_idx, path) JOIN {info_sql('data_info')} q ON x.row_idx = q.idx
+    WHERE q.text IS NOT NULL AND (n IS NULL OR n = m)"""
+)
+def multihop_texts(spark, d):
+    """Reformulated queries: the text and those of chosen labels."""
+    paths = graph.multi_hop(rel.top_k(cells(spark, d, "data_lbl"), 3), 3)
+    return graph.expanded_queries(paths, info(spark, d, "data_info"), info(spark, d, "label_raw"))
+
+
 @query()
 def beam_hops(spark, d):
     """Beams from each query's labels over labels that share queries."""
