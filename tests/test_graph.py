@@ -109,3 +109,12 @@ def test_conflation(spark):
     sim = spark.createDataFrame([(1, 1, 1.0), (2, 1, 0.95), (3, 1, 0.2)], "row_idx bigint, col_idx bigint, score double")
     nodes = spark.createDataFrame([(1,), (2,), (3,)], "node bigint")
     assert sorted(map(tuple, graph.conflate_similar(sim, r, nodes).select("row_idx", "col_idx", "score").collect())) == [(0, 1, 3.0), (1, 3, 1.0)]
+
+
+def test_node_rank_walks_sum_to_one(spark):
+    cells = lambda rows: spark.createDataFrame(rows, "row_idx bigint, col_idx bigint, score double")
+    out = graph.node_rank_walks(cells([(0, 1, 1.0), (1, 1, 1.0), (1, 3, 3.0)]), cells([(1, 2, 1.0), (2, 1, 1.0), (3, 3, 1.0)]), 0.5, 12, 2).collect()
+    for row in (0, 1):
+        assert sum(r.score for r in out if r.row_idx == row) == pytest.approx(1)
+    assert {r.col_idx for r in out if r.row_idx == 0} == {1, 2}
+    assert next(r.score for r in out if (r.row_idx, r.col_idx) == (1, 3)) == pytest.approx(0.75)

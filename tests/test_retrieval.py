@@ -71,3 +71,12 @@ def test_supervised_and_judgements(spark):
     qrels = spark.createDataFrame([("a", "x", 1), ("b", "x", 1), ("a", "z", 1)], "qid string, did string, rel int")
     cells, missing = ret.judgements(qrels, info(["a"]), info(["x"]))
     assert [tuple(r) for r in cells.collect()] == [(0, 0, 1.0)] and tuple(missing.first()) == (1, 1)
+
+
+def test_examples(spark):
+    import json
+
+    r = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.75), (0, 2, 0.1), (1, 0, 1.0)], "row_idx bigint, col_idx bigint, score double")
+    table = lambda names: spark.createDataFrame([(k, "i", n) for k, n in enumerate(names)], "idx bigint, identifier string, text string")
+    out = ret.examples(r, table(["q", "p"]), table(["a", "b", "c"]), r.filter("row_idx = 0"), 2).collect()
+    assert [json.loads(x.example) for x in out] == [{"query": "q", "labels": [{"label": "b", "score": "0.7500"}, {"label": "a", "score": "0.5000"}]}]
