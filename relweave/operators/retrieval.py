@@ -72,22 +72,33 @@ def two_tower_search(queries: DataFrame, documents: DataFrame, k: int, dim: int)
     return exact_search(cut_to(queries), cut_to(documents), k, dim)
 
 
-def lsh_search(queries: DataFrame, documents: DataFrame, k: int, dim: int, bucket: float = 0.6, tables: int = 8, within: float = 1.2) -> DataFrame:
-    """Approximate search with random-projection buckets over unit vectors: candidates share a bucket and lie within an
-    Euclidean distance; recall depends on the settings and is measured in the tests."""
+def lsh_search(queries: DataFrame, documents: DataFrame, k: int, dim: int, bucket: float = 0.6, tables: int = 8) -> DataFrame:
+    """Approximate search with random-projection buckets over unit vectors: candidates share a bucket, at any distance.
+
+    Queries with fewer than ``k`` candidates are searched exactly. Recall depends on the settings and is measured in the
+    tests. Rows of one idx count once.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
     from pyspark.ml.functions import array_to_vector
 
+    from relweave.session import cut
+
     def units(df: DataFrame) -> DataFrame:
-        good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0) & (F.size("vector") == dim)
-        rows = df.filter(F.col("vector").isNotNull() & good).select("idx", array_to_vector(F.col("vector").cast("array<double>")).alias("raw"))
+        good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0) & (F.size("vector") == dim)
+        rows = df.filter(F.col("idx").isNotNull() & F.col("vector").isNotNull() & good).groupBy("idx").agg(F.min(F.col("vector").cast("array<double>")).alias("vector")).select("idx", array_to_vector("vector").alias("raw"))
         return Normalizer(inputCol="raw", outputCol="v").transform(rows).select("idx", "v")
 
     d = units(documents)
+    if d.isEmpty():
+        return exact_search(queries, documents, k, dim)
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=5).fit(d)
-    near = model.approxSimilarityJoin(units(queries), d, within, "distance")
+    # unit vectors are never farther apart than 2
+    near = model.approxSimilarityJoin(units(queries), d, 3.0, "distance")
     found = near.select(F.col("datasetA.idx").alias("row_idx"), F.col("datasetB.idx").alias("col_idx"), (1 - F.col("distance") * F.col("distance") / 2).alias("score"))
-    return rel.top_k(found, k)
+    found = cut(rel.top_k(found, k))
+    full = found.groupBy(F.col("row_idx").alias("idx")).count().filter(F.col("count") >= k)
+    rest = exact_search(queries.join(full, "idx", "left_anti"), documents, k, dim)
+    return found.join(full.select(F.col("idx").alias("row_idx")), "row_idx", "left_semi").unionByName(rest)
 
 
 def labels_through_metadata(data_meta: DataFrame, label_meta: DataFrame, k: int) -> DataFrame:

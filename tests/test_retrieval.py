@@ -43,6 +43,27 @@ def test_lsh_recall(spark):
     assert len(exact & near) / len(exact) > 0.9
 
 
+def test_lsh_fills_up_sparse_regions(spark):
+    rng = np.random.default_rng(3)
+    v = vectors(spark, rng.normal(size=(300, 64)))  # few cosines above 0.28
+    q = v.filter("idx < 40")
+    exact = {(r.row_idx, r.col_idx) for r in ret.exact_search(q, v, 10, 64).collect()}
+    near = {(r.row_idx, r.col_idx) for r in ret.lsh_search(q, v, 10, 64).collect()}
+    assert len(near) == 400 and len(exact & near) / len(exact) > 0.9
+    narrow = {(r.row_idx, r.col_idx) for r in ret.lsh_search(q, v, 10, 64, bucket=1e-6).collect()}
+    assert narrow == exact  # nothing but the query shares a bucket
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_lsh_recall_of_the_embeddings(spark, size):
+    v = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").selectExpr("vec_id AS idx", "embedding AS vector")
+    q = v.filter("idx % 50 = 0")
+    exact = {(r.row_idx, r.col_idx) for r in ret.exact_search(q, v, 10, 64).collect()}
+    near = {(r.row_idx, r.col_idx) for r in ret.lsh_search(q, v, 10, 64).collect()}
+    print("recall", size, len(exact & near) / len(exact), len(near), len(exact))
+    assert len(near) == len(exact) and len(exact & near) / len(exact) >= 0.9
+
+
 def test_negatives_and_lists(spark):
     run = spark.createDataFrame([(0, c, 1.0 - c / 10) for c in range(8)], "row_idx bigint, col_idx bigint, score double")
     pos = spark.createDataFrame([(0, 1, 1.0)], "row_idx bigint, col_idx bigint, score double")
