@@ -6,7 +6,7 @@ Edges are (src, dst, weight), nodes are any type that can be joined. State of al
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relweave.session import cut
@@ -156,31 +156,63 @@ def walk_expectation(edges: DataFrame, starts: DataFrame, restart: float = 0.5,
     return visits.groupBy("start", "node").agg(F.sum("x").alias("score"))
 
 
-def random_walks(edges: DataFrame, starts: DataFrame, restart: float = 0.5, length: int = 400, walkers: int = 1, seed: int = 1) -> DataFrame:
-    """(start, node, score): visits of walks of ``length`` steps with restart from each start, by hash-seeded draws.
+def walk_ranges(edges: DataFrame) -> DataFrame:
+    """(src, bin, dst, low, high, dst_bins): the edges' ranges of cumulated probability by the bins that they reach into.
 
-    A step of all walkers is a join with the edges' ranges of cumulated probability; a walker at a node without edges
-    restarts. The expectation of the visits is ``walk_expectation`` up to scale.
+    A node has as many bins of equal width as edges, so that there are fewer than two rows per edge, and a uniform draw
+    meets fewer than two on average, whatever the degree. ``dst_bins`` is null at a node without edges.
     """
     w = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("src")
     ranges = edges.filter("weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    ranges = cut(ranges.select("src", "dst", ((F.sum("weight").over(w) - F.col("weight")) / F.sum("weight").over(whole)).alias("low"), (F.sum("weight").over(w) / F.sum("weight").over(whole)).alias("high")))
-    state = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("walker", F.explode(F.sequence(F.lit(1), F.lit(walkers))))
-    visits = state.select("start", "node").withColumn("n", F.lit(1))
+    ranges = cut(ranges.select("src", "dst", F.count("*").over(whole).cast("int").alias("bins"), ((F.sum("weight").over(w) - F.col("weight")) / F.sum("weight").over(whole)).alias("low"), (F.sum("weight").over(w) / F.sum("weight").over(whole)).alias("high")))
+    bins = ranges.select(F.col("src").alias("dst"), F.col("bins").alias("dst_bins")).distinct()
+    reached = F.sequence(_bin("low", "bins"), _bin("high", "bins"))
+    return ranges.join(bins, "dst", "left").select("src", F.explode(reached).alias("bin"), "dst", "low", "high", "dst_bins")
+
+
+def _bin(x: str, bins: str) -> Column:
+    return F.least(F.floor(F.col(x) * F.col(bins)), F.col(bins) - 1).cast("int")
+
+
+def _with_visits(visits: DataFrame | None, state: DataFrame) -> DataFrame:
+    new = state.select("start", F.explode("path").alias("node")).groupBy("start", "node").agg(F.count("*").cast("int").alias("n"))
+    return new if visits is None else visits.unionByName(new)
+
+
+def random_walks(edges: DataFrame, starts: DataFrame, restart: float = 0.5, length: int = 400, walkers: int = 1, seed: int = 1) -> DataFrame:
+    """(start, node, score): visits of walks of ``length`` steps with restart from each start, by hash-seeded draws.
+
+    A step of all walkers is a join with the ranges of ``walk_ranges``; a walker at a node without edges restarts. The expectation of the visits is ``walk_expectation`` up to scale.
+    """
+    ranges = cut(walk_ranges(edges))
+    degrees = edges.filter("weight > 0").groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").cast("int").alias("bins"))
+    # kept by source and bin, so that no step shuffles the edges again
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges.repartition(parts, "src", "bin").sortWithinPartitions("src", "bin").persist()
+    state = starts.select("node").distinct().join(degrees, "node", "left").select(F.col("node").alias("start"), "node", F.explode(F.sequence(F.lit(1), F.lit(walkers))).alias("walker"), "bins", F.col("bins").alias("start_bins"))
+    # the nodes of the steps since the last cut go along, so that a step is computed once
+    state = cut(state.withColumn("path", F.array("node")))
+    none = F.array().cast(state.schema["path"].dataType)
+    visits = None
 
     def draw(step: int, purpose: int):
         return F.shiftrightunsigned(F.xxhash64("start", "walker", F.lit(step), F.lit(purpose), F.lit(seed)), 11).cast("double") / float(1 << 53)
 
     for k in range(1, length):
         moved = state.withColumn("u", draw(k, 0)).withColumn("again", draw(k, 1) < restart)
-        hit = (F.col("node") == F.col("src")) & (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))
-        state = moved.join(ranges, hit, "left").select("start", F.when(F.col("again") | F.col("dst").isNull(), F.col("start")).otherwise(F.col("dst")).alias("node"), "walker")
+        moved = moved.withColumn("drawn", _bin("u", "bins"))
+        hit = (F.col("node") == F.col("src")) & (F.col("drawn") == F.col("bin")) & (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))
+        home = F.col("again") | F.col("dst").isNull()
+        state = moved.join(ranges, hit, "left").select("start", F.when(home, F.col("start")).otherwise(F.col("dst")).alias("node"), "walker", F.when(home, F.col("start_bins")).otherwise(F.col("dst_bins")).alias("bins"), "start_bins", "path")
+        state = state.withColumn("path", F.concat("path", F.array("node")))
         if k % CUT_EVERY == 0:
             state = cut(state)
-        visits = visits.unionByName(state.groupBy("start", "node").agg(F.count("*").cast("int").alias("n")))
+            visits = _with_visits(visits, state)
+            state = state.withColumn("path", none)
         if k % (4 * CUT_EVERY) == 0:
             visits = cut(visits.groupBy("start", "node").agg(F.sum("n").cast("int").alias("n")))
+    visits = _with_visits(visits, state)
     return visits.groupBy("start", "node").agg(F.sum("n").cast("double").alias("score"))
 
 

@@ -161,16 +161,17 @@ def walk_expectation(spark, d):
 
 @query()
 def random_walk(spark, d):
-    edges = _nation_edges(spark, d)
-    return graph.random_walks(edges, edges.select(F.col("src").alias("node")), 0.5, 40, 20, 3)
+    """A walk from every supplier and part."""
+    edges = cut(_supply_edges(spark, d))
+    return graph.random_walks(edges, edges.select(F.col("src").alias("node")), seed=3)
 
 
 @query()
 def node_rank_walk(spark, d):
-    """Walks over the co-occurrence of regions' nations, restarting to the regions' suppliers."""
-    edges = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("row_idx"), (F.col("n_regionkey") + 100).cast("bigint").alias("col_idx"), F.lit(1.0).alias("score"))
-    reset = rel.relation(table(spark, d, "supplier").withColumn("one", F.lit(1.0)), "s_suppkey", "s_nationkey", "one", "sum")
-    return graph.node_rank_walks(reset, rel.symmetrise_sum(edges), 0.5, 20, 3)
+    """Walks over suppliers and parts, restarting to the regions' suppliers."""
+    forward = cut(_supply_edges(spark, d).select(F.col("src").alias("row_idx"), F.col("dst").alias("col_idx"), F.col("weight").alias("score")))
+    reset = _region_seeds(spark, d).select(F.col("query").alias("row_idx"), F.col("node").cast("bigint").alias("col_idx"), F.col("weight").alias("score"))
+    return graph.node_rank_walks(reset, forward, seed=3)
 
 
 _TOP3 = f"(SELECT row_idx, col_idx FROM {LBL} QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY score DESC, col_idx) <= 3)"

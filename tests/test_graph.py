@@ -70,6 +70,35 @@ def test_walks_agree_with_expectation(spark):
         assert seen[n] / sum(seen.values()) == pytest.approx(want[n] / sum(want.values()), abs=0.05)
 
 
+def test_a_hub_is_not_expanded_per_walker(spark):
+    e = edges(spark, [("hub", f"n{k}", 1000.0 if k == 7 else 1.0) for k in range(300)] + [("n7", "hub", 1.0)])
+    rows = graph.walk_ranges(e).filter("src = 'hub'").collect()
+    assert len(rows) < 2 * 300 and {r.dst for r in rows} == {f"n{k}" for k in range(300)}
+    for u in np.random.default_rng(3).random(200):
+        hit = [r.dst for r in rows if r.low <= u < r.high]
+        assert len(set(hit)) == 1  # an edge may reach into several bins
+        assert [r.dst for r in rows if r.bin == int(u * 300) and r.low <= u < r.high] == hit[:1]
+    seen = {r.node: r.score for r in graph.random_walks(e, spark.createDataFrame([("hub",)], "node string"), 0.5, 12, 300, 4).collect()}
+    assert sum(seen.values()) == 12 * 300 and seen["n7"] / (sum(seen.values()) - seen["hub"]) == pytest.approx(1000 / 1299, abs=0.05)
+
+
+def test_walks_are_registered_over_the_supply_graph(spark, monkeypatch):
+    from relweave.plans import graphs
+
+    walked = []
+    walks = graph.random_walks
+
+    def short(edges, starts, restart=0.5, length=400, walkers=1, seed=1):
+        walked.append((edges.count(), starts.distinct().count(), length))
+        return walks(edges, starts, restart, 3, walkers, seed)
+
+    monkeypatch.setattr(graph, "random_walks", short)
+    d = "/root/testdata/sf0.001"
+    assert graphs.random_walk(spark, d).select("start").distinct().count() == 210
+    assert graphs.node_rank_walk(spark, d).count() > 10
+    assert walked == [(3810, 210, 400), (3810, 10, 100)]
+
+
 def test_multi_hop(spark):
     r = spark.createDataFrame([(0, 1, 1.0), (0, 2, 1.0), (0, 3, 1.0)], "row_idx bigint, col_idx bigint, score double")
     assert graph.multi_hop(r).count() == 16 and graph.multi_hop(r).select("path").distinct().count() == 16
