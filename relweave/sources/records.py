@@ -1,8 +1,8 @@
 """Loading raw delimited records: valid rows apart from broken ones, each broken one with its reason.
 
 A schema is a list of fields. From it come one anchored pattern that a whole valid record must match and, for the
-records that do not match, incremental patterns of the first k fields. They run as JVM expressions inside
-whole-stage code; no row leaves the JVM, nothing is shuffled.
+records that do not match, incremental patterns of the first k fields: the first of them that fails gives both the reason
+and the field. They run as JVM expressions inside whole-stage code; no row leaves the JVM, nothing is shuffled.
 
 All repetitions are possessive, so that matching takes linear time and constant stack on texts of any length.
 """
@@ -52,27 +52,53 @@ LABEL_SCHEMA = (Literal("identifier", "lbl-[0-9]{9}"), FreeText("text"))
 
 @dataclass(frozen=True)
 class RecordPatterns:
-    """The patterns generated for a schema."""
+    """The patterns generated for a schema.
+
+    ``whole`` matches a valid record. The others are prefixes that grow by a field each: ``quoted[k]`` holds if the first
+    k + 1 fields, as far as there are that many, are well formed, and ``quoted_rest`` if all fields are; ``present[k]`` if
+    there are k + 1 fields, and ``no_more`` if there are no others; ``valid[k]`` if the first k + 1 fields are valid.
+    """
 
     whole: str
-    grammar: str
-    arity: str
-    prefixes: tuple[str, ...]
-    well_formed: tuple[str, ...]
+    quoted: tuple[str, ...]
+    quoted_rest: str
+    present: tuple[str, ...]
+    no_more: str
+    valid: tuple[str, ...]
 
     @classmethod
     def of(cls, schema) -> RecordPatterns:
         n = len(schema)
         valid = [f.valid() for f in schema]
+        quoted = []
+        for _ in range(n):
+            # one field more inside: what follows a field is the end, or a comma and the next field
+            inner = r"(?:,|\z)"
+            for _ in quoted:
+                inner = rf"(?:\z|,{ANY_FIELD}{inner})"
+            quoted.append(rf"\A{ANY_FIELD}{inner}")
         return cls(
             whole=r"\A" + ",".join(f"({v})" for v in valid) + r"\z",
-            grammar=rf"\A{ANY_FIELD}(?:,{ANY_FIELD})*+\z",
-            arity=rf"\A{ANY_FIELD}(?:,{ANY_FIELD}){{{n - 1}}}\z",
-            prefixes=tuple(r"\A" + ",".join(valid[: k + 1]) + (r"\z" if k == n - 1 else ",") for k in range(n)),
-            well_formed=tuple(rf"\A{ANY_FIELD}(?:,{ANY_FIELD}){{{k}}}(?:,|\z)" for k in range(n)),
+            quoted=tuple(quoted),
+            quoted_rest=rf"\A{ANY_FIELD}(?:,{ANY_FIELD})*+\z",
+            present=tuple(rf"\A{ANY_FIELD}(?:,{ANY_FIELD}){{{k}}}(?:,|\z)" for k in range(n)),
+            no_more=rf"\A{ANY_FIELD}(?:,{ANY_FIELD}){{{n - 1}}}\z",
+            valid=tuple(r"\A" + ",".join(valid[: k + 1]) + (r"\z" if k == n - 1 else ",") for k in range(n)),
         )
 
 
+def _first_failing(line: Column, p: RecordPatterns) -> Column:
+    """struct(reason, field) of the first prefix pattern that fails, null if the whole record is valid."""
+    steps = [(pattern, QUOTING, k + 1) for k, pattern in enumerate((*p.quoted, p.quoted_rest))]
+    # a record has a first field in any case
+    steps += [(pattern, COLUMNS, k + 1) for k, pattern in enumerate((*p.present, p.no_more)) if k]
+    steps += [(pattern, VALUE, k + 1) for k, pattern in enumerate(p.valid)]
+    out = F.when(line.rlike(p.whole), F.lit(None).cast("struct<reason:string,field:int>"))
+    for pattern, reason, field in steps:
+        out = out.when(~line.rlike(pattern), F.struct(F.lit(reason).alias("reason"), F.lit(field).alias("field")))
+    return out
+
+
 def _unquoted(field: Column) -> Column:
     quoted = field.startswith('"') & (F.length(field) >= 2)
     return F.when(quoted, F.replace(F.substring(field, F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))).otherwise(field)
@@ -81,42 +107,18 @@ def _unquoted(field: Column) -> Column:
 def parse_records(records: DataFrame, schema=LABEL_SCHEMA, record: str = "rec") -> DataFrame:
     """Add each field of ``schema``, ``reason`` and ``broken_field`` to ``records``.
 
-    A valid record gets its fields and null for ``reason``; a broken one null fields, the first reason that
-    applies (quoting, columns, value) and the number of the first broken field, from 1; for a record with too
-    many fields that is the number after the schema's last. One trailing CR belongs to the line end. A null record
-    counts as an empty one: one field, so ``columns``. Columns of the input with the name of a field, or named
-    ``reason`` or ``broken_field``, are replaced.
+    A valid record gets its fields and null for ``reason``; a broken one null fields. Its ``reason`` and ``broken_field``
+    are those of the first prefix pattern that fails: all on quoting stand before those on the number of fields, and these
+    before those on values. ``broken_field`` counts from 1; it is the first missing field of a record with too few, and
+    the first beyond the schema of one with too many. One trailing CR belongs to the line end. A null record counts as
+    an empty one: one field, so ``columns``. Columns of the input with the name of a field, or named ``reason`` or
+    ``broken_field``, are replaced.
     """
     p = RecordPatterns.of(schema)
-    n = len(schema)
     line = F.regexp_replace(F.coalesce(F.col(record), F.lit("")), r"\r\z", "")
-
-    def matches(pattern: str) -> Column:
-        return line.rlike(pattern)
-
-    ok = matches(p.whole)
-    reason = (
-        F.when(ok, F.lit(None).cast("string"))
-        .when(~matches(p.grammar), F.lit(QUOTING))
-        .when(~matches(p.arity), F.lit(COLUMNS))
-        .otherwise(F.lit(VALUE))
-    )
-
-    def first_failing(patterns, beyond: int) -> Column:
-        out = None
-        for k, pattern in enumerate(patterns):
-            out = F.when(~matches(pattern), F.lit(k + 1)) if out is None else out.when(~matches(pattern), F.lit(k + 1))
-        return out.otherwise(F.lit(beyond))
-
-    broken = (
-        F.when(ok, F.lit(None).cast("int"))
-        .when(F.col("reason") == VALUE, first_failing(p.prefixes, n))
-        .when(F.col("reason") == QUOTING, first_failing(p.well_formed, n + 1))
-        .otherwise(first_failing([w[: -len(r"(?:,|\z)")] + ("," if k < n - 1 else r"\z") for k, w in enumerate(p.well_formed)], n + 1))
-    )
-    out = records.withColumn("reason", reason).withColumn("broken_field", broken)
-    fields = {f.name: F.when(ok, _unquoted(F.regexp_extract(line, p.whole, k + 1))) for k, f in enumerate(schema)}
-    return out.withColumns(fields)
+    failing = _first_failing(line, p)
+    fields = {f.name: F.when(line.rlike(p.whole), _unquoted(F.regexp_extract(line, p.whole, k + 1))) for k, f in enumerate(schema)}
+    return records.withColumns({"reason": failing["reason"], "broken_field": failing["field"], **fields})
 
 
 def load_valid(records: DataFrame, schema=LABEL_SCHEMA, record: str = "rec") -> DataFrame:

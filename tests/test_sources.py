@@ -90,6 +90,8 @@ def test_records(spark):
     assert [(CASES[k][0], rows[k].reason) for k in rows] == [(CASES[k][0], CASES[k][1]) for k in rows]
     assert (rows[2].identifier, rows[2].text) == (ID, 'a "b" c, d') and rows[0].broken_field is None
     assert all((rows[k].broken_field is None) == (CASES[k][1] is None) for k in rows)
+    fields = {2: 2, 7: 2, 8: 2, 12: 1, 14: 2, 16: 2, 17: 3, 18: 3, 19: 2, 21: 2, 24: 1, 26: 1, 28: 2, 32: 1}
+    assert {k: rows[k].broken_field for k in fields} == {k: None if CASES[k][1] is None else f for k, f in fields.items()}
     assert load_valid(df).count() + rejected(df).count() == len(CASES)
     assert parse_records(df.limit(0)).count() == 0
 
