@@ -1,7 +1,8 @@
 """One form for texts that look the same: compatibility forms, accents, invisible characters, blanks, look-alikes.
 
 The work is done by DuckDB inside Arrow partitions, in one SQL expression of nfc_normalize, translate and regular
-expressions. Its tables follow from the Unicode data by rule; only the look-alike letters are a fixed list.
+expressions. Its tables follow by rule from the Unicode data and from the confusables data that the session's ICU library
+has; only the letters on which these two leave a choice are a fixed list.
 """
 
 from __future__ import annotations
@@ -12,16 +13,18 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relweave.session import cut, spread
 
-# Letters of other alphabets that have the shape of a basic Latin letter (Unicode TR39).
+# Letters that have the shape of a basic Latin letter, most of them in Unicode TR39. The final sigma is
+# the compatibility form of the lunate one, which has the shape of c.
 LOOK_ALIKES = {
     "A": "ΑА", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "H": "ΗН", "I": "ΙІӀ", "J": "ЈͿ", "K": "ΚКK", "M": "ΜМ", "N": "Ν",
     "O": "ΟОՕ", "P": "ΡР", "S": "ЅՏ", "T": "ΤТ", "U": "Ս", "W": "Ԝ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ", "Q": "Ԛ", "G": "Ԍ", "L": "Լ",
-    "a": "αаɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "ιіı", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "οоօ",
+    "a": "αаɑ", "c": "сϲς", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "ιіı", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "οоօ",
     "p": "ρр", "q": "ԛզ", "s": "ѕ", "u": "υս", "v": "νѵ", "w": "ԝѡ", "x": "х", "y": "уү",
 }
 
@@ -30,6 +33,33 @@ INVISIBLE = r"[\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180D}\x
 BLANK = r"[\p{Zs}\p{Zl}\p{Zp}\t\n\x{0B}\x{0C}\r\x{85}]"
 
 
+def _script(c: str) -> str:
+    return unicodedata.name(c, "?").split()[0]
+
+
+@cache
+def letters() -> dict[str, str]:
+    """Letters to the basic Latin letters of their shape: ``LOOK_ALIKES``, and what ICU's confusables data add to it.
+
+    A letter of another script is added if it shares its skeleton with a basic letter of the same case, and for small
+    letters if the capitals do so as well. Where a script has several letters of one shape, which its readers tell apart,
+    none is added. Needs a running session, whose JVM has the data.
+    """
+    fixed = {c: latin for latin, others in LOOK_ALIKES.items() for c in others}
+    skeleton = SparkContext._active_spark_context._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton
+    basic = {(skeleton(c), c.isupper()): c for c in map(chr, range(128)) if c.isalpha()}
+    shape = {}
+    for c in map(chr, range(0x80, 0x20000)):
+        if unicodedata.category(c) in ("Lu", "Ll") and _script(c) != "LATIN" and unicodedata.normalize("NFKD", c) == c:
+            if to := basic.get((skeleton(c), c.isupper())):
+                shape[c] = to
+    sharing: dict[tuple[str, str], set[str]] = {}
+    for c, to in [*shape.items(), *fixed.items()]:
+        sharing.setdefault((_script(c), to), set()).add(c)
+    alone = {c: to for c, to in shape.items() if len(sharing[_script(c), to]) == 1 and (c.isupper() or shape.get(c.upper()) == to.upper())}
+    return alone | fixed
+
+
 @cache
 def _tables() -> tuple[dict[str, str], dict[str, str]]:
     """Mappings of one character to one, and of one to several, on texts in composed form."""
@@ -40,13 +70,14 @@ def _tables() -> tuple[dict[str, str], dict[str, str]]:
         if to != c:
             (one if len(to) == 1 else several)[c] = to
 
-    letters = {c: latin for latin, others in LOOK_ALIKES.items() for c in others}
+    shapes = letters()
     for code in range(0x80, sys.maxunicode + 1):
         c = chr(code)
         if unicodedata.category(c) in ("Cn", "Co", "Cs", "Cf") or "가" <= c <= "힣":
             continue
-        plain = unicodedata.normalize("NFKD", c)
-        shaped = unicodedata.normalize("NFC", "".join(letters.get(x, x) for x in plain))
+        # a character's own shape comes before what it is a compatibility form of
+        plain = shapes.get(c) or unicodedata.normalize("NFKD", c)
+        shaped = unicodedata.normalize("NFC", "".join(shapes.get(x, x) for x in plain))
         if shaped != unicodedata.normalize("NFC", c):
             put(c, "".join(" " if unicodedata.category(x) in ("Zs", "Zl", "Zp") else x for x in shaped))
     return one, several
@@ -56,24 +87,47 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _class(characters) -> str:
+    """A character class of ranges."""
+    codes, out = sorted(map(ord, characters)), []
+    for k in codes:
+        if out and k == out[-1][1] + 1:
+            out[-1][1] = k
+        else:
+            out.append([k, k])
+    return "[" + "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out) + "]"
+
+
 @cache
 def form_sql(column: str = "text") -> str:
     """The SQL expression of the form of ``column``.
 
     Invisible characters go first, as they can stand between a letter and its accent. Texts of ASCII characters only
-    need nothing but blanks made equal.
+    need nothing but blanks made equal. As translate reads its tables for every row, they are split: letters of other
+    scripts and full-width forms on their own, the many rare compatibility forms apart, each only for texts that have some.
     """
     one, several = _tables()
     table = f"MAP {{{', '.join(f'{_quoted(k)}: {_quoted(v)}' for k, v in several.items())}}}"
-    seen = f"nfc_normalize(regexp_replace({column}, '{INVISIBLE}', '', 'g'))"
-    wide = f"CASE WHEN regexp_matches({seen}, {_quoted('[' + ''.join(several) + ']')}) THEN array_to_string(list_transform(regexp_extract_all({seen}, '(?s).'), lambda c: coalesce({table}[c], c)), '') ELSE {seen} END"
-    mapped = f"nfc_normalize(translate({wide}, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))}))"
+    some = _class(several)
+    parts = f"list_transform(regexp_extract_all(s, '{some}|[^{some[1:-1]}]+', 0, 's'), lambda c: CASE WHEN length(c) = 1 THEN coalesce({table}[c], c) ELSE c END)"
+    steps = [
+        f"nfc_normalize(regexp_replace({column}, '{INVISIBLE}', '', 'g'))",
+        f"CASE WHEN regexp_matches(s, '{some}') THEN array_to_string({parts}, '') ELSE s END",
+    ]
+    own = [c for c in one if c in letters()]
+    wide = [c for c in one if "\uff00" <= c <= "\uffef"]
+    rest = [c for c in one if c not in {*own, *wide}]
+    for table in (own, wide, rest):
+        steps.append(f"CASE WHEN regexp_matches(s, '{_class(table)}') THEN translate(s, {_quoted(''.join(table))}, {_quoted(''.join(one[c] for c in table))}) ELSE s END")
+    steps.append("nfc_normalize(s)")
+    mapped = steps[0]
+    for step in steps[1:]:
+        mapped = f"list_transform([{mapped}], lambda s: {step})[1]"
     return f"regexp_replace(CASE WHEN regexp_matches({column}, '[^\\x00-\\x7F]') THEN {mapped} ELSE {column} END, '{BLANK}', ' ', 'g')"
 
 
-def _forms(keep: list[str]):
+def _forms(keep: list[str], form: str):
     columns = ", ".join(f'"{c}"' for c in keep)
-    query = f'SELECT {columns}, {form_sql("text")} AS form FROM batch'
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
@@ -81,10 +135,10 @@ def _forms(keep: list[str]):
         con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
         try:
             for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    con.register("batch", pa.Table.from_batches([batch.slice(at, 2048)]))
-                    yield from con.execute(query).to_arrow_table().to_batches()
-                    con.unregister("batch")
+                rows = pa.Table.from_batches([batch])
+                con.register("rows", rows)
+                yield from con.sql(f"SELECT {columns}, {form} AS form FROM rows").to_arrow_table().to_batches()
+                con.unregister("rows")
         finally:
             con.close()
 
@@ -100,7 +154,7 @@ def with_form(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     rows = df.select(*keys, F.col(text).alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", text string, form string"
-    return spread(rows).mapInArrow(_forms([*keys, "text"]), schema)
+    return spread(rows).mapInArrow(_forms([*keys, "text"], form_sql("text")), schema)
 
 
 def same_looking_pairs(df: DataFrame, key: str = "identifier", text: str = "text") -> DataFrame:

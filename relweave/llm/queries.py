@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import knn, leakage, lookalike, mixing, mojibake, overlap
+from relweave.llm import knn, leakage, lookalike, mixing, mojibake, oracles, overlap
 from relweave.llm.topn import top_n_per_group
 from relweave.session import table
 
@@ -75,8 +75,7 @@ def _label_and_test(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p4_sql(rest: str) -> str:
-    rows = "SELECT identifier, text FROM label_raw UNION SELECT identifier, text FROM test_raw"
-    return f"WITH r AS ({rows}), f AS (SELECT identifier, text, {lookalike.form_sql('text')} AS form FROM r) {rest}"
+    return oracles.look_sql("SELECT identifier, text FROM label_raw UNION SELECT identifier, text FROM test_raw", rest)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
