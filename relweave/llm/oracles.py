@@ -47,3 +47,28 @@ def look_sql(rows: str, rest: str) -> str:
     p AS (SELECT text, unnest(regexp_extract_all(seen, '(?s).')) AS c, generate_subscripts(regexp_extract_all(seen, '(?s).'), 1) AS place FROM x),
     g AS (SELECT text, nfc_normalize(string_agg(coalesce(m.shown, p.c), '' ORDER BY place)) AS form FROM p LEFT JOIN m ON p.c = m.c GROUP BY text),
     f AS (SELECT identifier, r.text, CASE WHEN r.text IS NOT NULL THEN coalesce(form, '') END AS form FROM r LEFT JOIN g ON r.text = g.text) {rest}"""
+
+
+#: Overlaps of items and documents on every diagonal, from all pairs of equal words. The masks are the operator's.
+LEAK_SQL = """
+WITH iw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p
+  FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL)),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p
+  FROM (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL)),
+eq AS (SELECT item_id, doc_id, n, CASE WHEN n >= 12 THEN 12 WHEN n >= 6 THEN 6 ELSE n END AS span, iw.p, dw.p - iw.p AS shift FROM iw JOIN dw USING (word)),
+d AS MATERIALIZED (SELECT * FROM eq QUALIFY count(*) OVER (PARTITION BY item_id, doc_id, shift) >= CASE span WHEN 12 THEN 9 WHEN 6 THEN 5 ELSE span END),
+masks AS (SELECT mask, len(mask) AS span, len(replace(mask, '0', '')) AS weight
+  FROM (SELECT unnest(['111011010111', '110101101111', '101110111011', '110111', '111011', '11111', '1111', '111', '11', '1']) AS mask)),
+places AS (SELECT *, unnest(range(span)) AS off FROM masks),
+seeds AS (SELECT DISTINCT item_id, doc_id, shift, start FROM (
+  SELECT item_id, doc_id, shift, mask, p - off AS start FROM d JOIN places USING (span) WHERE mask[off + 1] = '1'
+  GROUP BY item_id, doc_id, shift, mask, p - off, weight HAVING count(*) = weight)),
+isles AS (SELECT *, sum(fresh) OVER (PARTITION BY item_id, doc_id, shift ORDER BY p) AS isle FROM (
+  SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY item_id, doc_id, shift ORDER BY p) > 3 THEN 1 ELSE 0 END AS fresh,
+    p - row_number() OVER (PARTITION BY item_id, doc_id, shift ORDER BY p) AS run FROM d)),
+runs AS (SELECT item_id, doc_id, shift, isle, run, count(*) AS len, min(p) AS low, max(p) AS high FROM isles GROUP BY ALL),
+spans AS (SELECT item_id, doc_id, shift, isle, max(len) AS exact, min(low) AS low, max(high) AS high, sum(len) AS same FROM runs GROUP BY ALL),
+seeded AS (SELECT DISTINCT s.* FROM spans s JOIN seeds h USING (item_id, doc_id, shift) WHERE h.start BETWEEN s.low AND s.high)
+SELECT item_id, doc_id, max(exact)::INTEGER AS exact_run, (max(row(high - low + 1, same))[1])::INTEGER AS overlap_words,
+  (max(row(high - low + 1, same))[1] - max(row(high - low + 1, same))[2])::INTEGER AS substituted FROM seeded GROUP BY item_id, doc_id
+"""

@@ -146,5 +146,6 @@ def oracle_sql() -> dict[str, str]:
         "p4_classes": _p4_sql(", c AS (SELECT form, count(DISTINCT text) AS n_texts FROM f WHERE text <> '' GROUP BY form) SELECT DISTINCT identifier, md5(form) AS class_id, n_texts FROM f JOIN c USING (form) WHERE text <> ''"),
         "p5_found": _p5_sql(),
         "p6_found": _P6_SQL + "SELECT DISTINCT item_id, doc_id FROM ik JOIN dk USING (run)",
+        "p6_overlaps": oracles.LEAK_SQL,
         "p6_items": _P6_SQL + "SELECT item_id, dataset, split, count(DISTINCT doc_id) AS n_documents FROM ik JOIN dk USING (run) JOIN eval_items USING (item_id) GROUP BY ALL",
     }

@@ -58,6 +58,9 @@ def test_bit_array_only_drops_what_cannot_match(spark, tables, monkeypatch):
     want = {tuple(r) for r in leakage.leaked_runs(i, d).collect()}
     monkeypatch.setattr(leakage, "MIN_BITS", 1 << 6)
     monkeypatch.setattr(leakage, "MAX_BITS", 1 << 6)
+    monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(leakage, "BROADCAST_WORDS", 0)
+    monkeypatch.setattr(leakage, "HOT", 1)
     assert {tuple(r) for r in leakage.leaked_runs(i, d).collect()} == want
 
 
@@ -70,3 +73,27 @@ def test_empty(spark, tables):
 
 def test_masks_have_one_span():
     assert {len(m) for m in leakage.MASKS} == {leakage.SPAN} and all(m[0] == m[-1] == "1" for m in leakage.MASKS)
+
+
+def test_overlap_is_followed_to_its_end(spark):
+    """Every fifth word replaced, far beyond the last hit of a mask."""
+    source = [f"w{k}" for k in range(400)]
+    changed = [("x" if k >= 100 and k % 3 else w) for k, w in enumerate(source)]
+    i = spark.createDataFrame([(1, " ".join(source))], "item_id bigint, text string")
+    d = spark.createDataFrame([(2, " ".join(changed))], "doc_id bigint, text string")
+    r = leakage.leaks(i, d).first()
+    assert (r.exact_run, r.overlap_words, r.substituted) == (100, 400, 200)
+
+
+def test_short_items(spark):
+    i = spark.createDataFrame([(1, "Alpha beta, gamma"), (2, "one two three four five six seven"), (3, "lonely"), (4, "alpha gamma")], "item_id bigint, text string")
+    d = spark.createDataFrame([(10, "so alpha beta gamma ends"), (11, "one two CHANGED four five six seven"), (12, "one two x y five six"), (13, "a lonely word"), (14, "")], "doc_id bigint, text string")
+    got = {(r.item_id, r.doc_id): (r.exact_run, r.overlap_words, r.substituted) for r in leakage.leaks(i, d).collect()}
+    assert got == {(1, 10): (3, 3, 0), (2, 11): (4, 7, 1), (3, 13): (1, 1, 0)}
+
+
+def test_repeated_words_are_linear(spark):
+    i = spark.createDataFrame([(1, "same " * 60), (2, "a b " * 40 + "c")], "item_id bigint, text string")
+    d = spark.createDataFrame([(10, "same " * 200_000), (11, "a b " * 3000)], "doc_id bigint, text string")
+    got = {(r.item_id, r.doc_id): (r.exact_run, r.overlap_words) for r in leakage.leaks(i, d).collect()}
+    assert got == {(1, 10): (60, 60), (2, 11): (80, 80)}
