@@ -4,25 +4,36 @@ Every text becomes a vector over its different words. Texts with the same words
 nothing in the join. The words of a vector stand rarest first, by one order for both sides, and the vector is indexed
 only up to the word from which on the norm of the rest, the residual, is below the threshold: by Cauchy-Schwarz two
 vectors that share no indexed word stay below the threshold. Two more bounds drop what the inverted lists bring
-together: the number of words that can be shared times the maximum weights, and at each shared word its product plus
-the product of the residuals behind it. Both hold at the first shared word of a pair, so no pair is lost. How many
-words can be shared is bounded by a signature of 64 bits: each bit that only one side has set stands for at least one
-word of its own. What remains gets its exact dot product.
+together: how many words can still be shared times the weights at the shared word, which are the maximum of the rest,
+and the product of these weights plus that of the residuals behind. Both hold at the first shared word of a pair, so no
+pair is lost. How many words can be shared is also bounded by a signature of 64 bits: each bit that only one side has
+set stands for at least one word of its own. What remains gets its exact dot product.
+
+Weights are whole millionths, so that sums do not depend on their order.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relweave.session import cut
+from relweave.session import cut, spread
 
 #: A word is an unbroken run of letters and digits.
 WORD = r"[\p{L}\p{N}]+"
 #: Room for rounding in the bounds, which are compared in doubles.
 EPS = 1e-9
+#: Damped squared weights lie between 1 and this.
+SPREAD = 1.5
+#: Different words whose counts are broadcast, at most (16 bytes each); of more, counts are joined by a shuffle.
+VOCABULARY = 1_000_000
+#: The inverted list of a word in more vectors than this is split into parts of that length on both sides.
+LIST = 20_000
 
 
 def word_set(text: Column) -> Column:
@@ -30,94 +41,146 @@ def word_set(text: Column) -> Column:
 
 
 def text_classes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys``, the word set ``words`` and its ``class_id``; rows without a word are left out."""
+    """The different rows of ``keys``, the sorted word set ``words`` and its hash ``class_id``; rows without a word are left out."""
     out = df.select(*keys, F.sort_array(word_set(F.col(text))).alias("words")).filter(F.size("words") > 0)
-    return out.withColumn("class_id", F.md5(F.array_join("words", " ")))
+    return out.withColumn("class_id", F.xxhash64("words")).distinct()
+
 
+def classes_of(members: DataFrame) -> DataFrame:
+    """One row (class_id, words) per class: the hash deals the rows, the words decide."""
+    return members.select("class_id", "words").distinct()
 
-def cosine_for_jaccard(t: float) -> float:
-    """The cosine of two unweighted sets that every pair with a Jaccard similarity of ``t`` reaches.
 
-    |A & B| >= t / (1 + t) * (|A| + |B|), and the mean of two sizes is at least their geometric mean.
+def cosine_for_jaccard(t: float, spread: float = 1.0) -> float:
+    """The cosine that every pair of sets with a Jaccard similarity of ``t`` reaches, if the squared weights lie between 1
+    and ``spread``.
+
+    The cosine is lowest where all shared words weigh 1 and the others ``spread``. The words not shared are at most
+    (1 - t) / t times those shared, and the mean of the two squared norms is at least their geometric mean.
     """
-    return 2 * t / (1 + t)
+    return 2 / (2 + (1 - t) / t * spread)
+
+
+def squared_weights(weights: str, df: np.ndarray, total: int) -> np.ndarray:
+    """In millionths, of words in ``df`` of ``total`` vectors. They never grow with ``df``."""
+    if weights == "uniform":
+        return np.full(len(df), 1_000_000, "i8")
+    rarity = np.log1p(total / df)
+    squared = rarity**2 if weights == "idf" else 1 + (SPREAD - 1) * rarity / math.log1p(total)
+    return np.rint(squared * 1_000_000).astype("i8")
+
+
+def _vectors(threshold: float, weights: str, total: int, shipped):
+    """Rows (side, class_id, words, keys[, counts]) to vectors: words rarest first, their weights, the residuals of the
+    indexed ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, known_df = shipped.value if shipped else (None, None)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("words")
+            sizes = np.diff(lists.offsets.to_numpy())
+            starts = np.cumsum(sizes) - sizes
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            keys = batch.column("keys").flatten().to_numpy()
+            df = known_df[np.searchsorted(known, keys)] if shipped else batch.column("counts").flatten().to_numpy()
+            order = np.lexsort((keys, df, owner))
+            df, keys = df[order], keys[order]
+            w = squared_weights(weights, df, total)
+            through = np.cumsum(w)
+            before = through - w
+            norm = np.add.reduceat(w, starts)
+            rest = norm[owner] - (before - before[starts][owner])
+            indexed = rest >= (threshold * threshold - EPS) * norm[owner]
+            prefix = np.bincount(owner[indexed], minlength=len(sizes))
+            signature = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), keys.view("u8") & np.uint64(63)), starts).view("i8")
+            at = pa.array(np.r_[0, np.cumsum(sizes)].astype("i4"))
+            first = pa.array(np.r_[0, np.cumsum(prefix)].astype("i4"))
+            entries = pa.StructArray.from_arrays([pa.array(keys[indexed]), pa.array(w[indexed]), pa.array(rest[indexed]), pa.array(df[indexed])], ["key", "w", "rest", "df"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("side"), batch.column("class_id"), pa.array(sizes.astype("i4")), pa.array(signature), pa.array(norm),
+                    pa.ListArray.from_arrays(at, lists.flatten().take(pa.array(order))), pa.ListArray.from_arrays(at, pa.array(w)), pa.ListArray.from_arrays(first, entries),
+                ],
+                ["side", "class_id", "n", "signature", "norm", "words", "weights", "entries"],
+            )
+
+    return run
 
 
 def weighted_cosine_join(left: DataFrame, right: DataFrame, threshold: float, weights: str = "uniform") -> DataFrame:
-    """All pairs of classes (``left_class``, ``right_class``) with a cosine of at least ``threshold``.
+    """All pairs of classes with a cosine of at least ``threshold``: (left_class, left_words, right_class, right_words, cosine,
+    shared, left_size, right_size).
 
-    Both sides hold ``class_id`` and ``words``, one row per class. ``weights`` is ``uniform`` (every word 1) or
-    ``idf`` (ln(1 + N / n) for a word in n of all N classes of both sides). Adds ``cosine``, ``shared``, ``left_size``
-    and ``right_size``. An empty side gives an empty result.
+    Both sides hold ``class_id`` and ``words``, one row per class. With N classes on both sides, the squared weight of a
+    word in n of them is 1 (``uniform``), ln(1 + N / n) squared (``idf``) or 1 + (``SPREAD`` - 1) ln(1 + N / n) / ln(1 + N)
+    (``damped``). An empty side gives an empty result. ``class_id`` is a hash; classes that share one stay apart, as their
+    words are compared.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    if weights not in ("uniform", "idf"):
+    if weights not in ("uniform", "idf", "damped"):
         raise ValueError(f"unknown weights {weights!r}")
+    spark = left.sparkSession
     both = left.select(F.lit(0).alias("side"), "class_id", "words").unionByName(right.select(F.lit(1).alias("side"), "class_id", "words"))
-    signature = F.expr("aggregate(words, 0L, (s, w) -> s | shiftleft(1L, cast(pmod(xxhash64(w), 64) AS int)))")
-    postings = both.select("side", "class_id", F.size("words").alias("n"), signature.alias("signature"), F.explode("words").alias("word"))
-    lists = postings.groupBy("word").agg(F.count("*").alias("df"))
-    if weights == "idf":
-        total = both.agg(F.count("*").cast("double").alias("total"))  # one row
-        lists = lists.crossJoin(F.broadcast(total)).select("word", "df", F.log1p(F.col("total") / F.col("df")).alias("w"))
+    both = cut(both.withColumn("keys", F.transform("words", lambda w: F.xxhash64(w))).withColumn("row", F.monotonically_increasing_id()))
+    total = both.count()
+    counts = cut(both.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df")))
+    if counts.count() <= VOCABULARY:
+        known = counts.orderBy("key").toArrow()  # at most VOCABULARY rows
+        shipped = spark.sparkContext.broadcast((known.column("key").to_numpy(), known.column("df").to_numpy()))
+        rows = spread(both.drop("row"))
     else:
-        lists = lists.withColumn("w", F.lit(1.0))
-    vector = Window.partitionBy("side", "class_id").orderBy("df", "word")
-    whole = Window.partitionBy("side", "class_id")
-    indexed = (
-        postings.join(lists, "word")
-        .withColumn("rest", F.sum(F.col("w") * F.col("w")).over(vector.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("norm2", F.sum(F.col("w") * F.col("w")).over(whole))
-        .withColumn("max_w", F.max("w").over(whole))
-        .filter(F.col("rest") >= (threshold * threshold - EPS) * F.col("norm2"))
-        .select(
-            "side", "class_id", "word", "n", "signature",
-            (F.col("w") / F.sqrt("norm2")).alias("w"),
-            (F.col("max_w") / F.sqrt("norm2")).alias("max_w"),
-            F.sqrt(F.greatest(F.lit(0.0), (F.col("rest") - F.col("w") * F.col("w")) / F.col("norm2"))).alias("residual"),
-        )
+        shipped = None
+        words = both.select("row", "side", "class_id", F.explode(F.arrays_zip("words", "keys")).alias("e")).select("row", "side", "class_id", "e.words", F.col("e.keys").alias("key")).join(counts, "key")
+        lists = words.groupBy("row", "side", "class_id").agg(F.sort_array(F.collect_list(F.struct("words", "key", "df"))).alias("e"))  # as long as the text
+        rows = lists.select("side", "class_id", F.col("e.words").alias("words"), F.col("e.key").alias("keys"), F.col("e.df").alias("counts"))
+    schema = "side int, class_id bigint, n int, signature bigint, norm bigint, words array<string>, weights array<bigint>, entries array<struct<key:bigint,w:bigint,rest:bigint,df:bigint>>"
+    vectors = cut(rows.mapInArrow(_vectors(threshold, weights, total, shipped), schema))
+    listed = vectors.select("side", "class_id", "n", "signature", "norm", F.posexplode("entries").alias("at", "e"))
+    listed = listed.select(
+        "side", "class_id", "signature", F.col("e.key").alias("key"), (F.col("n") - F.col("at")).alias("left"), F.sqrt(F.col("e.w") / F.col("norm")).alias("w"),
+        F.sqrt((F.col("e.rest") - F.col("e.w")) / F.col("norm")).alias("residual"), F.col("n"), F.ceil(F.col("e.df") / LIST).cast("int").alias("parts"),
     )
-    indexed = cut(indexed)
-    a, b = indexed.filter("side = 0").alias("a"), indexed.filter("side = 1").alias("b")
+    # a long list is split on both sides, and every part of one meets every part of the other
+    own, every = F.pmod(F.col("class_id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = listed.filter("side = 0").withColumn("p", own).withColumn("q", every).alias("a")
+    b = listed.filter("side = 1").withColumn("q", own).withColumn("p", every).alias("b")
     own_a = F.bit_count(F.col("a.signature").bitwiseAND(F.bitwise_not("b.signature")))
     own_b = F.bit_count(F.col("b.signature").bitwiseAND(F.bitwise_not("a.signature")))
-    shareable = F.least(F.col("a.n") - own_a, F.col("b.n") - own_b)
-    met = (F.col("a.word") == F.col("b.word")) & (
-        shareable * F.col("a.max_w") * F.col("b.max_w") >= threshold - EPS
-    ) & (F.col("a.w") * F.col("b.w") + F.col("a.residual") * F.col("b.residual") >= threshold - EPS)
+    shareable = F.least(F.col("a.n") - own_a, F.col("b.n") - own_b, F.col("a.left"), F.col("b.left"))
+    product = F.col("a.w") * F.col("b.w")
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q")) & (
+        shareable * product >= threshold - EPS
+    ) & (product + F.col("a.residual") * F.col("b.residual") >= threshold - EPS)
     pairs = a.join(b, met).select(F.col("a.class_id").alias("left_class"), F.col("b.class_id").alias("right_class")).distinct()
-    if weights == "idf":
-        weighted = postings.join(lists, "word").groupBy("side", "class_id").agg(
-            F.collect_list(F.concat_ws("\t", "word", F.col("w").cast("string"))).alias("keys"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
-        )
-    else:
-        weighted = both.select("side", "class_id", F.col("words").alias("keys"), F.sqrt(F.size("words").cast("double")).alias("norm"))
-    x = weighted.filter("side = 0").select(F.col("class_id").alias("left_class"), F.col("keys").alias("x"), F.col("norm").alias("x_norm"))
-    y = weighted.filter("side = 1").select(F.col("class_id").alias("right_class"), F.col("keys").alias("y"), F.col("norm").alias("y_norm"))
-    common = F.array_intersect("x", "y")
-    if weights == "idf":
-        squared = F.transform(common, lambda k: F.pow(F.substring_index(k, "\t", -1).cast("double"), F.lit(2.0)))
-        dot = F.aggregate(squared, F.lit(0.0), lambda s, v: s + v)
-    else:
-        dot = F.size(common).cast("double")
-    out = pairs.join(x, "left_class").join(y, "right_class")
-    out = out.select(
-        "left_class", "right_class", (dot / (F.col("x_norm") * F.col("y_norm"))).alias("cosine"),
-        F.size(common).alias("shared"), F.size("x").alias("left_size"), F.size("y").alias("right_size"),
-    )
+    named = F.zip_with("words", "weights", lambda w, x: F.concat_ws("\t", w, x.cast("string")))
+
+    def side(k: int, name: str, short: str) -> DataFrame:
+        return vectors.filter(F.col("side") == k).select(F.col("class_id").alias(f"{name}_class"), F.col("words").alias(f"{name}_words"), F.col("n").alias(f"{name}_size"), F.col("norm").alias(f"{short}_norm"), named.alias(short))
+
+    out = pairs.join(side(0, "left", "x"), "left_class").join(side(1, "right", "y"), "right_class").withColumn("common", F.array_intersect("x", "y"))
+    dot = F.aggregate("common", F.lit(0).cast("bigint"), lambda s, k: s + F.substring_index(k, "\t", -1).cast("bigint"))
+    cosine = dot / (F.sqrt(F.col("x_norm").cast("double")) * F.sqrt(F.col("y_norm").cast("double")))
+    out = out.select("left_class", "left_words", "right_class", "right_words", cosine.alias("cosine"), F.size("common").alias("shared"), "left_size", "right_size")
     return out.filter(F.col("cosine") >= threshold - EPS)
 
 
 def overlapping_classes(left: DataFrame, right: DataFrame, jaccard: float) -> DataFrame:
     """Pairs of classes of which the word sets have at least ``jaccard`` of their union in common.
 
-    The cosine join finds every such pair; the sizes then decide exactly, in whole numbers of 1/10000.
+    The cosine join over damped weights finds every such pair; the sizes then decide exactly, in whole numbers of 1/10000.
     """
     per_myriad = math.ceil(round(jaccard * 10_000, 6))
     union = F.col("left_size") + F.col("right_size") - F.col("shared")
-    pairs = weighted_cosine_join(left, right, cosine_for_jaccard(jaccard))
-    return pairs.filter(F.col("shared").cast("bigint") * 10_000 >= union.cast("bigint") * per_myriad)
+    pairs = weighted_cosine_join(left, right, cosine_for_jaccard(jaccard, SPREAD), "damped")
+    pairs = pairs.filter(F.col("shared").cast("bigint") * 10_000 >= union.cast("bigint") * per_myriad)
+    return pairs.withColumns({"left_words": F.sort_array("left_words"), "right_words": F.sort_array("right_words")})
+
+
+def _both(train: DataFrame, held_out: DataFrame, key: str, text: str, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    return cut(text_classes(train, [key], text)), cut(text_classes(held_out, [key, *by], text))
 
 
 def cross_split_pairs(train: DataFrame, held_out: DataFrame, jaccard: float = 0.65, key: str = "identifier", text: str = "text") -> DataFrame:
@@ -125,23 +188,39 @@ def cross_split_pairs(train: DataFrame, held_out: DataFrame, jaccard: float = 0.
 
     Null texts and texts without a word never count; a row delivered twice counts once.
     """
-    members_l = text_classes(train, [key], text).distinct()
-    members_r = text_classes(held_out, [key], text).distinct()
-    classes = [m.select("class_id", "words").dropDuplicates(["class_id"]) for m in (members_l, members_r)]
-    pairs = overlapping_classes(*classes, jaccard).select("left_class", "right_class")
-    a = members_l.select(F.col(key).alias("train_id"), F.col("class_id").alias("left_class"))
-    b = members_r.select(F.col(key).alias("test_id"), F.col("class_id").alias("right_class"))
-    return pairs.join(b, "right_class").join(a, "left_class").select("train_id", "test_id").distinct()
+    a, b = _both(train, held_out, key, text)
+    pairs = overlapping_classes(classes_of(a), classes_of(b), jaccard).select("left_class", "left_words", "right_class", "right_words")
+    a = a.select(F.col(key).alias("train_id"), F.col("class_id").alias("left_class"), F.col("words").alias("left_words"))
+    b = b.select(F.col(key).alias("test_id"), F.col("class_id").alias("right_class"), F.col("words").alias("right_words"))
+    return pairs.join(b, ["right_class", "right_words"]).join(a, ["left_class", "left_words"]).select("train_id", "test_id").distinct()
+
+
+def cross_split_classes(train: DataFrame, held_out: DataFrame, jaccard: float = 0.65, key: str = "identifier", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The overlaps without expanding copies: the links (train_first, test_first, n_train, n_test) between classes of records
+    with the same words, each named by its smallest key, and the membership (side, key, first) of all records."""
+    a, b = _both(train, held_out, key, text)
+
+    def named(members: DataFrame, side: str) -> DataFrame:
+        return members.groupBy("class_id", "words").agg(F.min(key).alias("first"), F.count("*").alias("n")).select(F.col("class_id").alias(f"{side}_class"), F.col("words").alias(f"{side}_words"), "first", "n")
+
+    left, right = cut(named(a, "left")), cut(named(b, "right"))
+    pairs = overlapping_classes(classes_of(a), classes_of(b), jaccard)
+    links = pairs.join(left.withColumnsRenamed({"first": "train_first", "n": "n_train"}), ["left_class", "left_words"])
+    links = links.join(right.withColumnsRenamed({"first": "test_first", "n": "n_test"}), ["right_class", "right_words"]).select("train_first", "test_first", "n_train", "n_test")
+    members = [
+        m.join(c.select(F.col(f"{s}_class").alias("class_id"), F.col(f"{s}_words").alias("words"), "first"), ["class_id", "words"]).select(F.lit(name).alias("side"), key, "first").distinct()
+        for name, s, m, c in (("train", "left", a, left), ("test", "right", b, right))
+    ]
+    return links, members[0].unionByName(members[1])
 
 
 def cross_split_links(train: DataFrame, held_out: DataFrame, threshold: float = 0.8, weights: str = "idf", key: str = "identifier", text: str = "text") -> DataFrame:
     """One row per held-out record with a word: its ``class_id`` and ``n_links``, the training records at that cosine or above."""
-    members_l = text_classes(train, [key], text).distinct()
-    members_r = text_classes(held_out, [key], text).distinct()
-    classes = [m.select("class_id", "words").dropDuplicates(["class_id"]) for m in (members_l, members_r)]
-    sizes = members_l.groupBy(F.col("class_id").alias("left_class")).agg(F.count("*").alias("size"))
-    links = weighted_cosine_join(*classes, threshold, weights).join(sizes, "left_class").groupBy(F.col("right_class").alias("class_id")).agg(F.sum("size").alias("n_links"))
-    return members_r.join(links, "class_id", "left").select(key, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    a, b = _both(train, held_out, key, text)
+    sizes = a.groupBy(F.col("class_id").alias("left_class"), F.col("words").alias("left_words")).agg(F.count("*").alias("size"))
+    links = weighted_cosine_join(classes_of(a), classes_of(b), threshold, weights).withColumns({"left_words": F.sort_array("left_words"), "words": F.sort_array("right_words")})
+    links = links.join(sizes, ["left_class", "left_words"]).groupBy(F.col("right_class").alias("class_id"), "words").agg(F.sum("size").alias("n_links"))
+    return b.join(links, ["class_id", "words"], "left").select(key, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def overlap_report(train: DataFrame, held_out: DataFrame, jaccard: float = 0.65, by: tuple[str, ...] = ("split", "dataset"), key: str = "identifier", text: str = "text") -> DataFrame:
@@ -149,18 +228,16 @@ def overlap_report(train: DataFrame, held_out: DataFrame, jaccard: float = 0.65,
 
     Counted from class sizes, without expanding a class into its records.
     """
-    members_r = text_classes(held_out, [key, *by], text).distinct()
-    members_l = text_classes(train, [key], text).distinct()
-    classes = [m.select("class_id", "words").dropDuplicates(["class_id"]) for m in (members_l, members_r)]
-    sizes = members_l.groupBy(F.col("class_id").alias("left_class")).agg(F.count("*").alias("size"))
+    a, b = _both(train, held_out, key, text, by)
+    sizes = a.groupBy(F.col("class_id").alias("left_class"), F.col("words").alias("left_words")).agg(F.count("*").alias("size"))
     per_class = (
-        overlapping_classes(*classes, jaccard)
-        .join(sizes, "left_class")
-        .groupBy(F.col("right_class").alias("class_id"))
-        .agg(F.sum("size").alias("pairs"), F.sum(F.when(F.col("left_class") == F.col("right_class"), F.col("size")).otherwise(0)).alias("equal"))
+        overlapping_classes(classes_of(a), classes_of(b), jaccard)
+        .join(sizes, ["left_class", "left_words"])
+        .groupBy(F.col("right_class").alias("class_id"), F.col("right_words").alias("words"))
+        .agg(F.sum("size").alias("pairs"), F.sum(F.when(F.col("left_words") == F.col("right_words"), F.col("size")).otherwise(0)).alias("equal"))
     )
     return (
-        members_r.join(per_class, "class_id", "left")
+        b.join(per_class, ["class_id", "words"], "left")
         .groupBy(*by)
         .agg(
             F.count("*").alias("n_records"),

@@ -37,8 +37,17 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "data_info"), table(spark, d, "test_raw"), 0.65)
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The overlaps between classes of records with the same words, each named by its smallest identifier."""
+    return overlap.cross_split_classes(table(spark, d, "data_info"), table(spark, d, "test_raw"), 0.65)[0]
+
+
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split_classes(table(spark, d, "data_info"), table(spark, d, "test_raw"), 0.65)[1]
+
+
 def p2_weighted_links(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.cross_split_links(table(spark, d, "data_info"), table(spark, d, "test_raw"), 0.8, "idf")
+    return overlap.cross_split_links(table(spark, d, "data_info"), table(spark, d, "test_raw"), 0.8, "idf").select("identifier", "n_links")
 
 
 _P2_SQL = """
@@ -118,7 +127,7 @@ def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_nearest": p1_nearest,
-    "p2_found": p2_found, "p2_report": p2_report, "p2_weighted_links": p2_weighted_links,
+    "p2_found": p2_found, "p2_report": p2_report, "p2_weighted_links": p2_weighted_links, "p2_classes": p2_classes, "p2_members": p2_members,
     "p4_found": p4_found, "p4_forms": p4_forms, "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_items": p6_items,
@@ -138,6 +147,19 @@ def oracle_sql() -> dict[str, str]:
         + """, per AS (SELECT rw, sum(size) AS pairs, sum(CASE WHEN lw = rw THEN size ELSE 0 END) AS equal FROM close GROUP BY rw)
             SELECT split, dataset, count(*) AS n_records, count(pairs) AS n_overlapping, coalesce(sum(pairs), 0)::BIGINT AS n_pairs, coalesce(sum(equal), 0)::BIGINT AS n_equal
             FROM b LEFT JOIN per ON b.words = rw GROUP BY split, dataset""",
+        "p2_classes": _P2_SQL
+        + """SELECT min(a.identifier) AS train_first, min(b.identifier) AS test_first, count(DISTINCT a.identifier) AS n_train, count(DISTINCT b.identifier) AS n_test
+            FROM close JOIN a ON a.words = lw JOIN b ON b.words = rw GROUP BY lw, rw""",
+        "p2_members": _P2_SQL
+        + """SELECT DISTINCT 'train' AS side, identifier, min(identifier) OVER (PARTITION BY words) AS first FROM a
+            UNION ALL SELECT DISTINCT 'test', identifier, min(identifier) OVER (PARTITION BY words) FROM b""",
+        "p2_weighted_links": _P2_SQL
+        + """, u AS (SELECT 0 AS side, l AS id, unnest(words) AS w FROM sa UNION ALL SELECT 1, r, unnest(words) FROM sb),
+            weight AS (SELECT w, round(pow(ln(1 + (SELECT (SELECT count(*) FROM sa) + (SELECT count(*) FROM sb)) / count(*)::DOUBLE), 2) * 1000000)::BIGINT AS x FROM u GROUP BY w),
+            norm AS (SELECT side, id, sqrt(sum(x)) AS n FROM u JOIN weight USING (w) GROUP BY side, id),
+            dot AS (SELECT p.id AS l, q.id AS r, sum(x) AS d FROM u p JOIN u q ON p.w = q.w AND p.side = 0 AND q.side = 1 JOIN weight ON weight.w = p.w GROUP BY ALL),
+            link AS (SELECT r, sum(size) AS n FROM dot JOIN norm x ON x.side = 0 AND x.id = l JOIN norm y ON y.side = 1 AND y.id = r JOIN sa USING (l) WHERE d / (x.n * y.n) >= 0.8 - 1e-9 GROUP BY r)
+            SELECT b.identifier, coalesce(link.n, 0)::BIGINT AS n_links FROM b JOIN sb ON b.words = sb.words LEFT JOIN link USING (r)""",
         "p4_found": _p4_sql(
             """SELECT DISTINCT a.identifier AS id_a, b.identifier AS id_b FROM f a JOIN f b ON a.form = b.form
             WHERE a.text <> b.text AND a.identifier < b.identifier AND a.text <> '' AND b.text <> ''"""
