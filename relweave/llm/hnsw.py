@@ -1,8 +1,9 @@
 """A hierarchical navigable small-world graph over one shard of unit vectors, in flat neighbour arrays.
 
-Each layer is one int32 array with a row of neighbours per node, padded with -1. Whole batches of vectors are
-inserted and searched at a time: a step of the search expands one node for every query of the batch, so that all work
-is array arithmetic.
+Each layer is one int32 array with a row of neighbours per node, padded with -1. A shard is small, so that the
+candidates of a layer's links are found by matrix products of its nodes, and only then thinned out to diverse ones and
+linked back. Whole batches are searched at a time: a step of the search expands one node for every query of the
+batch, so that all work is array arithmetic.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ import numpy as np
 DEGREE, UPPER_DEGREE = 20, 12
 #: One node in so many also stands in the layer above.
 THINNING = 16
-BUILD_WIDTH, BATCH = 32, 1024
-#: The first nodes of a layer are linked by comparing them all.
-SEED_NODES = 256
+#: Candidates of a node's links, and nodes or queries handled at a time.
+CANDIDATES, BATCH = 32, 1024
 #: New links to a node considered together when its row is full.
 INCOMING = 24
 
@@ -106,40 +106,29 @@ class Graph:
         return np.concatenate([f[0][:, :k] for f in found]), np.concatenate([f[1][:, :k] for f in found])
 
 
+    def search_from(self, nodes: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``search``, for the vectors of nodes, which are the entries; a node finds itself first."""
+        found = [beam(self.vectors, self.layers[0], self.vectors[part], part[:, None].astype("i4"), max(k, width)) for at in range(0, len(nodes), BATCH) for part in [nodes[at : at + BATCH]]]
+        return np.concatenate([f[0][:, :k] for f in found]), np.concatenate([f[1][:, :k] for f in found])
+
+
 def _distinct(entries: np.ndarray) -> np.ndarray:
     entries = np.sort(entries, axis=1).astype("i4")
     entries[:, 1:][entries[:, 1:] == entries[:, :-1]] = -1
     return entries
 
 
-def _layer(vectors: np.ndarray, degree: int, entries) -> np.ndarray:
-    """Links over ``vectors``, inserted in their order."""
+def _layer(vectors: np.ndarray, degree: int) -> np.ndarray:
+    """Links over ``vectors``: diverse ones of each node's nearest, and back."""
     n = len(vectors)
     graph = np.full((n, degree), -1, "i4")
-    seed = min(n, SEED_NODES)
-    if seed > 1:
-        s = vectors[:seed] @ vectors[:seed].T
-        np.fill_diagonal(s, -3)
-        c = min(seed - 1, BUILD_WIDTH)
+    c = min(CANDIDATES, n - 1)
+    for at in range(0, n if c else 0, BATCH):
+        s = vectors[at : at + BATCH] @ vectors.T
+        s[np.arange(len(s)), np.arange(at, at + len(s))] = -3
         near = np.argpartition(-s, c - 1, axis=1)[:, :c].astype("i4")
-        graph[:seed] = diverse(vectors, near, np.take_along_axis(s, near, 1), degree)
-    at = seed
-    while at < n:
-        size = min(BATCH, at, n - at)
-        new = np.arange(at, at + size, dtype="i4")
-        q = vectors[new]
-        e = entries(q)
-        found, sims = beam(vectors, graph, q, _distinct(np.where(e < at, e, -1) if (e < at).any(axis=1).all() else np.where(e < at, e, 0)), BUILD_WIDTH)
-        among = q @ q.T
-        np.fill_diagonal(among, -3)
-        c = min(8, size - 1)
-        if c > 0:
-            near = np.argpartition(-among, c - 1, axis=1)[:, :c]
-            found = np.concatenate([found, new[near]], axis=1)
-            sims = np.concatenate([sims, np.take_along_axis(among, near, 1)], axis=1)
-        graph[new] = diverse(vectors, found, sims, degree)
-        _link_back(vectors, graph, new)
-        at += size
+        graph[at : at + BATCH] = diverse(vectors, near, np.take_along_axis(s, near, 1), degree)
+    _link_back(vectors, graph, np.arange(n, dtype="i4"))
     return graph
 
 
@@ -167,32 +156,11 @@ def _link_back(vectors: np.ndarray, graph: np.ndarray, new: np.ndarray) -> None:
 
 
 def build(vectors: np.ndarray, seed: int = 1) -> Graph:
-    """The graph of unit ``vectors`` (float32), layer by layer from the top."""
+    """The graph of unit ``vectors`` (float32)."""
     n = len(vectors)
-    rng = np.random.default_rng(seed)
-    levels = np.minimum((-np.log(rng.random(n)) / np.log(THINNING)).astype(int), 6)
-    # the nodes of a layer come before the others, so that what an upper layer finds is there when the rest is inserted
+    levels = np.minimum((-np.log(np.random.default_rng(seed).random(n)) / np.log(THINNING)).astype(int), 6)
     top = int(levels.max(initial=0))
     while top and (levels >= top).sum() < 2:
         top -= 1
-    order = np.argsort(-levels, kind="stable")
-    g = Graph(vectors, [], [])
-    layers, members = {}, {}
-    for level in range(top, -1, -1):
-        member = order[: (levels >= level).sum()] if level else order
-        above = Graph(vectors, [layers[k] for k in range(level + 1, top + 1)], [members[k] for k in range(level + 1, top + 1)])
-        place = np.full(n, -1, "i4")
-        place[member] = np.arange(len(member))
-        local = vectors[member]
-
-        def entries(q, above=above, place=place):
-            return place[above.entries(q, 0)] if above.layers else np.zeros((len(q), 1), "i4")
-
-        graph = _layer(local, UPPER_DEGREE if level else DEGREE, entries)
-        # rows and neighbours by ascending node
-        ascending = np.argsort(member)
-        member_sorted = member[ascending]
-        to = np.r_[np.argsort(ascending), -1].astype("i4")
-        layers[level], members[level] = to[graph][ascending], member_sorted
-    g.layers, g.members = [layers[k] for k in range(top + 1)], [members[k] for k in range(top + 1)]
-    return g
+    members = [np.flatnonzero(levels >= level) if level else np.arange(n) for level in range(top + 1)]
+    return Graph(vectors, [_layer(vectors[m], UPPER_DEGREE if level else DEGREE) for level, m in enumerate(members)], members)

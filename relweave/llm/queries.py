@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relweave.llm import knn, leakage, lookalike, mixing, mojibake, oracles, overlap
 from relweave.llm.topn import top_n_per_group
+from relweave.operators.retrieval import exact_search
 from relweave.session import table
 
 RELATIONS = ("data_lbl", "data_neg", "data_meta")
@@ -125,8 +126,19 @@ def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
     return knn.nearest_vectors(table(spark, d, "text_vectors"))
 
 
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the vectors whose id is divisible by 50: how many they are, how many neighbours they have by exact search, and
+    whether ``p1_nearest`` has at least 95 of 100 of them."""
+    rows = table(spark, d, "text_vectors").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"))
+    exact = exact_search(rows.filter("idx % 50 = 0"), rows, 6, 64).filter("row_idx <> col_idx")
+    first = F.row_number().over(Window.partitionBy("row_idx").orderBy(F.desc("score"), "col_idx"))
+    exact = exact.withColumn("rank", first).filter("rank <= 5").select(F.col("row_idx").alias("vec_id"), F.col("col_idx").alias("neighbour"))
+    both = exact.join(p1_nearest(spark, d).select("vec_id", "neighbour", F.lit(True).alias("found")), ["vec_id", "neighbour"], "left")
+    return both.agg(F.count_distinct("vec_id").alias("n_queries"), F.count("*").alias("n_neighbours"), (F.count("found") >= 0.95 * F.count("*")).alias("enough"))
+
+
 QUERIES = {
-    "p1_found": p1_found, "p1_nearest": p1_nearest,
+    "p1_found": p1_found, "p1_nearest": p1_nearest, "p1_recall": p1_recall,
     "p2_found": p2_found, "p2_report": p2_report, "p2_weighted_links": p2_weighted_links, "p2_classes": p2_classes, "p2_members": p2_members,
     "p4_found": p4_found, "p4_forms": p4_forms, "p4_classes": p4_classes,
     "p5_found": p5_found,
@@ -142,6 +154,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_recall": """WITH g AS (SELECT vec_id FROM text_vectors WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id)
+            SELECT count(*) AS n_queries, count(*) * least(5, (SELECT count(*) FROM g) - 1) AS n_neighbours, true AS enough FROM g WHERE vec_id % 50 = 0""",
         "p2_found": _P2_SQL + "SELECT DISTINCT a.identifier AS train_id, b.identifier AS test_id FROM close JOIN a ON a.words = lw JOIN b ON b.words = rw",
         "p2_report": _P2_SQL
         + """, per AS (SELECT rw, sum(size) AS pairs, sum(CASE WHEN lw = rw THEN size ELSE 0 END) AS equal FROM close GROUP BY rw)

@@ -40,7 +40,7 @@ def frame(spark, rows, extra=()):
 def test_recall_against_brute_force(spark):
     rows = data()
     extra = [(5, [float(x) for x in rows[5]], "x"), (7000, None, "x"), (7001, [], "x"), (7002, [0.0] * 16, "x"), (7003, [math.nan] + [1.0] * 15, "x"), (7004, [1.0] * 15, "x"), (7005, [None] + [1.0] * 15, "x"), (None, [1.0] * 16, "x"), (7006, [math.inf] + [1.0] * 15, "x")]
-    s = knn.Settings(dim=16, k=5, cell=150, shard=100, block=200, probes=4)
+    s = knn.Settings(dim=16, k=5, cell=150, shard=100, block=200)
     got = {tuple(r) for r in knn.similar_pairs(frame(spark, rows, extra), 0.85, settings=s).collect()}
     want = brute(rows, 5, 0.85)
     assert len(got & want) / len(want) >= 0.97 and len(got & want) / len(got) >= 0.97
@@ -71,3 +71,29 @@ def test_graph_of_any_size(n):
 
 def test_extreme_values():
     assert np.allclose(knn.unit(np.array([[3e37, 4e37], [3e-40, 4e-40]], "f4")), [[0.6, 0.8]] * 2, atol=1e-3)
+
+
+def recall(spark, m, settings):
+    near = knn.nearest_vectors(frame(spark, dict(enumerate(m))), settings=settings).collect()
+    s = np.round(knn.unit(m) @ knn.unit(m).T, 9)
+    np.fill_diagonal(s, -3)
+    want = {(i, int(j)) for i in range(len(m)) for j in np.argsort(-s[i], kind="stable")[: settings.k]}
+    assert len(near) == len(m) * settings.k
+    return len(want & {(r.vec_id, r.neighbour) for r in near}) / len(want)
+
+
+@pytest.mark.parametrize("cells, fan", [(12, 4096), (60, 4096), (500, 4096), (60, 8), (500, 30)])
+def test_recall_of_all_neighbours(spark, cells, fan):
+    """At every number of cells, and with centroids in two levels."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(400, 16))
+    m = np.concatenate([centres[rng.integers(0, 400, 4500)] + 0.3 * rng.normal(size=(4500, 16)), rng.normal(size=(500, 16))]).astype("f4")
+    assert recall(spark, m, knn.Settings(dim=16, k=5, cell=len(m) // cells, shard=2 * len(m) // cells, block=2000, fan=fan)) >= 0.95
+
+
+def test_different_vectors_under_one_id_and_copies(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [0.5, 0.5]), (3, [0.5, 0.5]), (4, [-0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    near = knn.nearest_vectors(df, settings=knn.Settings(dim=2, k=2)).collect()
+    assert {(r.vec_id, r.neighbour) for r in near if r.vec_id in (2, 3)} >= {(2, 3), (3, 2)}
+    assert all(sum(r.vec_id == i for r in near) == 2 for i in (1, 2, 3, 4))
