@@ -6,8 +6,10 @@ is the source's rate of repetition. As the numbers are fixed, the tokens a sourc
 mean that only grows, so that the mean which meets the source's share is found by bisection over a
 histogram of tokens by uniform number, of bounded size, without another pass over the documents.
 
-The total is the largest at which every source with documents reaches its share within its cap. The
-share of a source without documents goes to the others in proportion.
+The wanted total is a parameter. A source that is too small for its share of it is used to its cap and falls short, which
+the report shows. Without a wanted total the mix is ``FILL`` of the largest at which every source with documents reaches
+its share within its cap: what is left makes the limiting source's counts a draw like the others'. The share of a source
+without documents goes to the others in proportion.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from relweave.session import cut, spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bins of the histogram of uniform numbers, per source.
 BINS = 4096
+#: The part of the largest possible total that is taken where none is wanted.
+FILL = 0.95
 #: Texts longer than this are encoded in pieces cut at white space.
 PIECE = 1 << 16
 
@@ -75,7 +79,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 @dataclass(frozen=True)
 class Plan:
-    """What one source contributes: the mean of its Poisson distribution (None: every record at its cap)."""
+    """What one source contributes: the mean of its Poisson distribution (None: its goal is beyond its cap)."""
 
     source: str
     target_share: float
@@ -118,11 +122,12 @@ def mean_for(histogram: np.ndarray, goal: float, cap: int) -> float | None:
     return high
 
 
-def plan_mix(histograms: dict[str, np.ndarray], targets: list[tuple[str, float, int]]) -> list[Plan]:
+def plan_mix(histograms: dict[str, np.ndarray], targets: list[tuple[str, float, int]], total: float | None = None) -> list[Plan]:
     """Plans for every target source; a source without tokens, a share or a repeat contributes nothing."""
     usable = {s: (share, cap) for s, share, cap in targets if share > 0 and cap > 0 and s in histograms and histograms[s].sum() > 0}
     whole = sum(share for share, _ in usable.values())
-    total = min((cap * float(histograms[s].sum()) * whole / share for s, (share, cap) in usable.items()), default=0.0)
+    if total is None:
+        total = FILL * min((cap * float(histograms[s].sum()) * whole / share for s, (share, cap) in usable.items()), default=0.0)
     out = []
     for s, share, cap in targets:
         tokens = int(histograms[s].sum()) if s in histograms else 0
@@ -136,40 +141,46 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11).cast("double") / float(1 << 53)
 
 
-def mix(documents: DataFrame, targets: DataFrame, seed: int = 20, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def _uses(rows: DataFrame, plans: list[Plan]) -> DataFrame:
+    """``rows`` (source, u, ...) with ``uses``, how often each is used; rows used never are dropped."""
+    lists = [(p.source, thresholds(p.mean, p.max_repeats)) for p in plans if p.goal > 0]
+    frame = rows.sparkSession.createDataFrame(lists, "source string, thresholds array<double>")  # joined as its size allows
+    counted = rows.join(frame, "source").withColumn("uses", F.size(F.filter("thresholds", lambda t: F.col("u") > t)))
+    return counted.filter("uses > 0").drop("thresholds")
+
+
+def mix(documents: DataFrame, targets: DataFrame, seed: int = 20, tokenizer: str = TOKENIZER, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
     The mix has a row (source, doc_id, copy_no, text) for each use of a document, in the shuffled order of its
-    partitions. The report has (source, target_share, max_repeats, n_documents, source_tokens, n_rows, n_tokens,
-    reached_share, most_repeats), a row per target source. ``targets`` is a table of sources, which is read to the
-    driver; of a source named twice the larger share counts. Documents without a source, of a source not wanted, or
-    without tokens are not used.
+    partitions. The report has (source, target_share, max_repeats, n_documents, source_tokens, goal_tokens, n_rows, n_tokens,
+    reached_share, most_repeats, unused_share), a row per target source; ``unused_share`` is the part of the source's tokens
+    that no row has. ``targets`` is a table of sources, which is read to the driver; of a source named twice the larger
+    share counts. Documents without a source, of a source not wanted, or without tokens are not used.
     """
     spark = documents.sparkSession
     wanted = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).dropna()
     rows = [tuple(r) for r in wanted.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.target_share", "t.max_repeats").orderBy("source").collect()]
-    sized = cut(token_counts(documents.filter(F.col("source").isNotNull()), tokenizer).withColumn("u", uniform(F.col("doc_id"), seed)))
-    used = sized.filter(F.col("source").isin([s for s, _, _ in rows]) & (F.col("n_tokens") > 0))
+    frame = spark.createDataFrame(rows or [], "source string, target_share double, max_repeats int")
+    known = documents.filter(F.col("source").isNotNull()).withColumn("source", source_name(F.col("source")))
+    sized = cut(token_counts(known.join(frame.select("source"), "source", "left_semi"), tokenizer).withColumn("u", uniform(F.col("doc_id"), seed)))
+    used = sized.filter(F.col("n_tokens") > 0)
     histograms: dict[str, np.ndarray] = {}
     for s, k, n in used.groupBy("source", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("n")).collect():  # at most BINS rows a source
         histograms.setdefault(s, np.zeros(BINS))[k] = n
-    plans = plan_mix(histograms, rows)
-    count = F.lit(0)
-    for p in plans:
-        if p.goal > 0:
-            times = sum((F.when(F.col("u") > t, 1).otherwise(0) for t in thresholds(p.mean, p.max_repeats)), F.lit(0))
-            count = F.when(F.col("source") == p.source, times).otherwise(count)
-    uses = used.withColumn("uses", count).filter("uses > 0")
-    # a document's count follows from its id and source alone, so its text needs no join: it is exploded where it is read
+    plans = plan_mix(histograms, rows, total_tokens)
+    uses = _uses(used, plans)
+    # a document's count follows from its id and source alone, so its text needs no join with its size: it is exploded where it is read
     texts = documents.filter(F.length("text") > 0).select(source_name(F.col("source")).alias("source"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    copies = texts.withColumn("u", uniform(F.col("doc_id"), seed)).withColumn("uses", count).filter("uses > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("uses"))))
+    copies = _uses(texts.withColumn("u", uniform(F.col("doc_id"), seed)), plans).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("uses"))))
     place = F.xxhash64("doc_id", "copy_no", F.lit(seed + 1))
     shuffled = copies.withColumn("place", place).repartition("place").sortWithinPartitions("place", "doc_id", "copy_no")
-    totals = uses.groupBy("source").agg(F.sum("uses").alias("n_rows"), F.sum(F.col("uses") * F.col("n_tokens")).alias("n_tokens"), F.max("uses").alias("most_repeats"))
+    totals = uses.groupBy("source").agg(F.sum("uses").alias("n_rows"), F.sum(F.col("uses") * F.col("n_tokens")).alias("n_tokens"), F.max("uses").alias("most_repeats"), F.sum("n_tokens").alias("seen"))
     sources = sized.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("source_tokens"))
     all_tokens = totals.agg(F.sum("n_tokens").alias("all_tokens"))
-    frame = spark.createDataFrame(rows or [], "source string, target_share double, max_repeats int")
-    report = frame.join(sources, "source", "left").join(totals, "source", "left").crossJoin(F.broadcast(all_tokens))  # all_tokens has one row
-    zero = {"n_documents": 0, "source_tokens": 0, "n_rows": 0, "n_tokens": 0, "most_repeats": 0}
+    goals = spark.createDataFrame([(p.source, p.goal) for p in plans], "source string, goal_tokens double")
+    report = frame.join(goals, "source", "left").join(sources, "source", "left").join(totals, "source", "left").crossJoin(F.broadcast(all_tokens))  # all_tokens has one row
+    zero = {"n_documents": 0, "source_tokens": 0, "n_rows": 0, "n_tokens": 0, "most_repeats": 0, "seen": 0}
     report = report.fillna(zero).withColumn("reached_share", F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)))
-    return shuffled.select("source", "doc_id", "copy_no", "text"), report.select("source", "target_share", "max_repeats", "n_documents", "source_tokens", "n_rows", "n_tokens", "reached_share", "most_repeats")
+    report = report.withColumn("unused_share", F.coalesce(F.when(F.col("source_tokens") > 0, 1 - F.col("seen") / F.col("source_tokens")), F.lit(0.0)))
+    return shuffled.select("source", "doc_id", "copy_no", "text"), report.select("source", "target_share", "max_repeats", "n_documents", "source_tokens", "goal_tokens", "n_rows", "n_tokens", "reached_share", "most_repeats", "unused_share")

@@ -110,6 +110,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per wanted source: its documents, and whether its cap holds and its share is met."""
+    report = p7_shares(spark, d)
+    there = F.sum(F.when(F.col("n_rows") > 0, F.col("target_share")).otherwise(0.0)).over(Window.partitionBy())  # over the rows of mix_targets
+    met = F.abs(F.col("reached_share") - F.col("target_share") / there) <= 0.01
+    return report.select("source", "n_documents", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_cap"), ((F.col("n_rows") == 0) | met).alias("share_met"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled_documents(table(spark, d, "documents")).select("doc_id").distinct()
 
@@ -143,7 +151,7 @@ QUERIES = {
     "p4_found": p4_found, "p4_forms": p4_forms, "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_items": p6_items,
-    "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_check": p7_check,
     "p8_found": p8_found, "p8_restored": p8_restored,
 }
 
@@ -184,5 +192,7 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": _p5_sql(),
         "p6_found": _P6_SQL + "SELECT DISTINCT item_id, doc_id FROM ik JOIN dk USING (run)",
         "p6_overlaps": oracles.LEAK_SQL,
+        "p7_check": """SELECT m.source, count(d.source) AS n_documents, true AS within_cap, true AS share_met FROM mix_targets m LEFT JOIN
+            (SELECT lower(trim(source, ' ')) AS source FROM documents) d ON d.source = m.source GROUP BY m.source""",
         "p6_items": _P6_SQL + "SELECT item_id, dataset, split, count(DISTINCT doc_id) AS n_documents FROM ik JOIN dk USING (run) JOIN eval_items USING (item_id) GROUP BY ALL",
     }
