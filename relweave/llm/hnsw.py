@@ -15,8 +15,12 @@ import numpy as np
 DEGREE, UPPER_DEGREE = 20, 12
 #: One node in so many also stands in the layer above.
 THINNING = 16
-#: Candidates of a node's links, and nodes or queries handled at a time.
-CANDIDATES, BATCH = 32, 1024
+#: Candidates of a node's links among all nodes and among those of the layer above, which lead out of dense clusters.
+CANDIDATES, FAR = 24, 12
+#: Nodes or queries handled at a time.
+BATCH = 1024
+#: A layer of at most so many nodes is the top; all of it is compared with a query, and so many of the best are entries.
+TOP, ENTRIES = 1024, 8
 #: New links to a node considered together when its row is full.
 INCOMING = 24
 
@@ -46,17 +50,24 @@ def beam(vectors: np.ndarray, graph: np.ndarray, queries: np.ndarray, entries: n
         near = graph[ids[rows, pick]]
         fresh = ~seen[rows[:, None], near]
         seen[rows[:, None], near] = True
-        some = fresh.any(axis=1)
-        if not some.any():
+        r, c = np.nonzero(fresh)
+        node = near[r, c]
+        s = np.einsum("nd,nd->n", vectors[node], queries[rows[r]])
+        better = s > sims[rows].min(axis=1)[r]
+        r, node, s = r[better], node[better], s[better]
+        if not len(r):
             continue
-        r, near, fresh = rows[some], near[some], fresh[some]
-        s = np.einsum("nkd,nd->nk", vectors[near], queries[r])
-        s[~fresh] = -2
-        all_s = np.concatenate([sims[r], s], axis=1)
+        # what is new and better for each query, side by side
+        some, place, n_new = np.unique(r, return_inverse=True, return_counts=True)
+        col = np.arange(len(r)) - (np.cumsum(n_new) - n_new)[place]
+        new_s, new_id = np.full((len(some), n_new.max()), -2, "f4"), np.full((len(some), n_new.max()), -1, "i4")
+        new_s[place, col], new_id[place, col] = s, node
+        at = rows[some]
+        all_s = np.concatenate([sims[at], new_s], axis=1)
         keep = np.argpartition(-all_s, width - 1, axis=1)[:, :width]
-        sims[r] = np.take_along_axis(all_s, keep, 1)
-        ids[r] = np.take_along_axis(np.concatenate([ids[r], np.where(fresh, near, -1)], axis=1), keep, 1)
-        done[r] = np.take_along_axis(np.concatenate([done[r], ~fresh], axis=1), keep, 1)
+        sims[at] = np.take_along_axis(all_s, keep, 1)
+        ids[at] = np.take_along_axis(np.concatenate([ids[at], new_id], axis=1), keep, 1)
+        done[at] = np.take_along_axis(np.concatenate([done[at], new_id < 0], axis=1), keep, 1)
     order = np.argsort(-sims, axis=1)
     return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
@@ -89,20 +100,21 @@ class Graph:
     layers: list[np.ndarray]
     members: list[np.ndarray]
 
-    def entries(self, queries: np.ndarray, above: int) -> np.ndarray:
-        """Nodes from which to search the layer below ``above``: the best found by descending from the top."""
-        at = None
-        for level in range(len(self.layers) - 1, above - 1, -1):
+    def entries(self, queries: np.ndarray) -> np.ndarray:
+        """Nodes from which to search the lowest layer: the best of the top layer, led down through those between."""
+        top = self.members[-1]
+        s = queries @ self.vectors[top].T
+        e = min(ENTRIES, len(top))
+        at = top[np.argpartition(-s, e - 1, axis=1)[:, :e]]
+        for level in range(len(self.layers) - 2, 0, -1):
             member = self.members[level]
-            v = self.vectors[member]
-            start = np.zeros((len(queries), 1), "i4") if at is None else np.searchsorted(member, at).astype("i4")
-            found, _ = beam(v, self.layers[level], queries, start, 4)
+            found, _ = beam(self.vectors[member], self.layers[level], queries, np.searchsorted(member, at).astype("i4"), ENTRIES)
             at = member[np.where(found < 0, found[:, :1], found)]
-        return np.zeros((len(queries), 1), "i4") if at is None else at[:, :2]
+        return _distinct(at)
 
     def search(self, queries: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query the ``k`` nearest nodes found, best first, as ids (-1: none) and similarities."""
-        found = [beam(self.vectors, self.layers[0], q, _distinct(self.entries(q, 1)), max(k, width)) for at in range(0, len(queries), BATCH) for q in [queries[at : at + BATCH]]]
+        found = [beam(self.vectors, self.layers[0], q, self.entries(q), max(k, width)) for at in range(0, len(queries), BATCH) for q in [queries[at : at + BATCH]]]
         return np.concatenate([f[0][:, :k] for f in found]), np.concatenate([f[1][:, :k] for f in found])
 
 
@@ -118,16 +130,28 @@ def _distinct(entries: np.ndarray) -> np.ndarray:
     return entries
 
 
-def _layer(vectors: np.ndarray, degree: int) -> np.ndarray:
-    """Links over ``vectors``: diverse ones of each node's nearest, and back."""
+def _best(s: np.ndarray, c: int) -> np.ndarray:
+    return np.argpartition(-s, c - 1, axis=1)[:, :c].astype("i4")
+
+
+def _layer(vectors: np.ndarray, degree: int, above: np.ndarray) -> np.ndarray:
+    """Links over ``vectors``: diverse ones of each node's nearest and of its nearest among the nodes ``above``, and back."""
     n = len(vectors)
     graph = np.full((n, degree), -1, "i4")
-    c = min(CANDIDATES, n - 1)
-    for at in range(0, n if c else 0, BATCH):
+    c, far = min(CANDIDATES, n - 1), min(FAR, len(above) - 1)
+    for at in range(0, n if c > 0 else 0, BATCH):
         s = vectors[at : at + BATCH] @ vectors.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -3
-        near = np.argpartition(-s, c - 1, axis=1)[:, :c].astype("i4")
-        graph[at : at + BATCH] = diverse(vectors, near, np.take_along_axis(s, near, 1), degree)
+        near = _best(s, c)
+        sims = np.take_along_axis(s, near, 1)
+        if far > 0:
+            np.put_along_axis(s, near, -3, 1)  # each candidate once
+            among = s[:, above]
+            more = _best(among, far)
+            far_sims = np.take_along_axis(among, more, 1)
+            near = np.concatenate([near, np.where(far_sims > -2, above[more], -1)], axis=1).astype("i4")
+            sims = np.concatenate([sims, far_sims], axis=1)
+        graph[at : at + BATCH] = diverse(vectors, near, sims, degree)
     _link_back(vectors, graph, np.arange(n, dtype="i4"))
     return graph
 
@@ -158,9 +182,12 @@ def _link_back(vectors: np.ndarray, graph: np.ndarray, new: np.ndarray) -> None:
 def build(vectors: np.ndarray, seed: int = 1) -> Graph:
     """The graph of unit ``vectors`` (float32)."""
     n = len(vectors)
-    levels = np.minimum((-np.log(np.random.default_rng(seed).random(n)) / np.log(THINNING)).astype(int), 6)
-    top = int(levels.max(initial=0))
-    while top and (levels >= top).sum() < 2:
-        top -= 1
-    members = [np.flatnonzero(levels >= level) if level else np.arange(n) for level in range(top + 1)]
-    return Graph(vectors, [_layer(vectors[m], UPPER_DEGREE if level else DEGREE) for level, m in enumerate(members)], members)
+    levels = (-np.log(np.random.default_rng(seed).random(n)) / np.log(THINNING)).astype(int)
+    members = [np.arange(n)]
+    while len(members[-1]) > TOP:
+        members.append(np.flatnonzero(levels >= len(members)))
+    layers = []
+    for level, m in enumerate(members):
+        upper = np.flatnonzero(levels[m] > level)
+        layers.append(_layer(vectors[m], UPPER_DEGREE if level else DEGREE, upper))
+    return Graph(vectors, layers, members)

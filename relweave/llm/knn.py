@@ -33,9 +33,9 @@ FAN = 4096
 #: Classes that the centroids of the first level are fitted on, and those of a part per centroid, about.
 SAMPLE, SAMPLE_PER_CENTROID = 40_000, 16
 #: The share of the nearest vectors that lie in searched cells, and the number of classes that validate it, about.
-RECALL, VALIDATED = 0.975, 500
+RECALL, VALIDATED = 0.975, 800
 #: How many candidates the walk through a graph keeps, from a class's own node and from the top.
-OWN_WIDTH, WIDTH = 12, 24
+OWN_WIDTH, WIDTH = 12, 12
 #: Queries that a task searches a shard for, on average at most.
 BLOCK = 48_000
 MAX_TASKS = 20_000
