@@ -119,7 +119,7 @@ def p7_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.garbled_documents(table(spark, d, "documents")).select("doc_id").distinct()
+    return mojibake.found_documents(table(spark, d, "documents"))
 
 
 def p8_restored(spark: SparkSession, d: str) -> DataFrame:
