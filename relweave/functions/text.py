@@ -23,11 +23,15 @@ def blank_controls(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x1F\x7F]", " ")
 
 
+#: White space as Python's ``str.strip`` takes it.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_fences(text: Column) -> Column:
-    """Without code fences and the blanks around."""
+    """Without code fences and the white space around."""
     for fence in ("```json", "```python", "```"):
         text = F.replace(text, F.lit(fence), F.lit(""))
-    return F.trim(text)
+    return F.btrim(text, F.lit(WHITE))
 
 
 def joined(text: Column, items: Column, separator: str = " [SEP] ") -> Column:
@@ -85,6 +89,20 @@ def chunk_digest(texts: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("\x1f", F.size(texts).cast("string"), F.array_join(texts, "\x1f", ""))), 1, 16)
 
 
+def choose(items: Column, seed: int, *key: Column) -> Column:
+    """One of the items by the md5 of the seed and the key; null for an empty array."""
+    number = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), *(k.cast("string") for k in key))), 1, 8), 16, 10).cast("bigint")
+    return F.when(F.size(items) > 0, F.get(items, F.pmod(number, F.size(items)).cast("int")))
+
+
+def choose_alternatives(items: Column, seed: int, row: Column, rounds: int, separator: str = " [SEP] ") -> Column:
+    """The items ``rounds`` times over, of an item with alternatives between separators each time one of these, drawn by the
+    seed, the row, and the place: what ``fill_to_budget`` takes where items have alternatives."""
+    places = F.sequence(F.lit(0), F.size(items) * rounds - 1)
+    one = lambda k: choose(F.split(F.get(items, F.pmod(k, F.size(items))), "\\Q" + separator + "\\E"), seed, row, k)
+    return F.when(F.size(items) > 0, F.transform(places, one)).otherwise(F.array().cast("array<string>"))
+
+
 def fill_to_budget(text: Column, items: Column, budget: int, separator: str = " [SEP] ") -> Column:
     """The text and as many of the items, taken round and round, as bring it to ``budget`` words of white space.
 

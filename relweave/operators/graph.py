@@ -130,6 +130,7 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
                 if (change.agg(F.max("c")).first()[0] or 0.0) < tolerance:
                     break
                 before = x
+    transition.unpersist()  # the last round is a table of its own
     return x.select("query", "node", F.col("x").alias("score"))
 
 
@@ -212,19 +213,47 @@ def random_walks(edges: DataFrame, starts: DataFrame, restart: float = 0.5, leng
             state = state.withColumn("path", none)
         if k % (4 * CUT_EVERY) == 0:
             visits = cut(visits.groupBy("start", "node").agg(F.sum("n").cast("int").alias("n")))
-    visits = _with_visits(visits, state)
-    return visits.groupBy("start", "node").agg(F.sum("n").cast("double").alias("score"))
+    visits = cut(_with_visits(visits, state).groupBy("start", "node").agg(F.sum("n").cast("double").alias("score")))
+    ranges.unpersist()
+    return visits
 
 
-def node_rank_walks(reset: DataFrame, forward: DataFrame, restart: float = 0.5, length: int = 100, seed: int = 1) -> DataFrame:
+def seed_nodes(reset: DataFrame, columns: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """(row_idx, col_idx): the columns that each row of ``reset`` restarts to, and ``n`` random other starts of ``columns``
+    (node).
+
+    The columns stand in hash order, and a row takes n in turn from a place of its own, so that they differ within a row
+    and no row meets all columns. With fewer than n columns all are taken.
+    """
+    from relweave.operators.indexing import dense_index, hash_key
+
+    placed = cut(dense_index(columns.select("node").distinct().withColumn("_h", hash_key(seed, "node")), ["_h", "node"], "place").select("node", "place"))
+    size = placed.count()
+    own = reset.select("row_idx", "col_idx").distinct()
+    if not size or not n:
+        return own
+    rows = own.select("row_idx").distinct()
+    first = F.pmod(F.conv(F.substring(hash_key(seed, "row_idx"), 1, 12), 16, 10).cast("bigint"), F.lit(size))
+    drawn = rows.select("row_idx", F.explode(F.sequence(first, first + min(n, size) - 1)).alias("at")).select("row_idx", F.pmod("at", F.lit(size)).alias("place"))
+    return own.unionByName(drawn.join(placed, "place").select("row_idx", F.col("node").alias("col_idx"))).distinct()
+
+
+def node_rank_walks(reset: DataFrame, forward: DataFrame, restart: float = 0.5, length: int = 100, seed: int = 1, num_seed_nodes: int = 0, kept: DataFrame | None = None) -> DataFrame:
     """Personalised node rank by walks that restart to a distribution: (row_idx, col_idx, score), scores of a row sum to 1.
 
     ``reset`` is the relation seed -> column with the restart weights, ``forward`` a square relation of columns with the
     step weights. A walk that restarts to a distribution is a mixture of walks that restart to its columns, so one walk
-    per column serves all seeds.
+    per column serves all seeds. ``num_seed_nodes`` more starts of the columns are drawn for each row, with the mean weight
+    of its own. Over a graph of two kinds of nodes ``kept`` (node) names those whose visits count: those a step away
+    from the seeds, two steps away, or, if None, both.
     """
+    if num_seed_nodes:
+        starts = seed_nodes(reset, forward.select(F.col("row_idx").alias("node")), num_seed_nodes, seed)
+        mean = reset.groupBy("row_idx").agg(F.avg("score").alias("mean"))
+        reset = starts.join(reset.select("row_idx", "col_idx", "score"), ["row_idx", "col_idx"], "left").join(mean, "row_idx").select("row_idx", "col_idx", F.coalesce("score", "mean").alias("score"))
     steps = forward.select(F.col("row_idx").alias("src"), F.col("col_idx").alias("dst"), F.col("score").alias("weight"))
     walks = random_walks(steps, reset.select(F.col("col_idx").alias("node")), restart, length, 1, seed)
+    walks = walks if kept is None else walks.join(kept.select("node").distinct(), "node", "left_semi")
     mixed = reset.select("row_idx", F.col("col_idx").alias("start"), F.col("score").alias("w")).join(walks, "start")
     mixed = mixed.groupBy("row_idx", F.col("node").alias("col_idx")).agg(F.sum(F.col("score") * F.col("w")).alias("score"))
     return mixed.withColumn("score", F.col("score") / F.sum("score").over(Window.partitionBy("row_idx")))
@@ -281,15 +310,16 @@ def beam_hops(start: DataFrame, step: DataFrame, hops: int, per_hop: int, beam:
     return paths
 
 
-def components(pairs: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): connected components, named by their smallest node.
 
     Large-star and small-star rounds: every node's neighbours are linked to the smallest of them, until no edge moves.
-    The edges stay a table; each round is two aggregates, and hubs do not gather lists.
+    The edges stay a table; each round is two aggregates, and hubs do not gather lists. The number of rounds grows with the
+    square of the logarithm of the nodes at most.
     """
     edges = pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b")
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -305,21 +335,31 @@ def components(pairs: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFram
     return nodes.select("node").distinct().join(roots, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
 
 
-def conflate_similar(similar: DataFrame, r: DataFrame, columns: DataFrame, top: int = 1, least: float = 0.9) -> DataFrame:
+def conflate_similar(similar: DataFrame, r: DataFrame, columns: DataFrame, top: int = 1, least: float = 0.9, most: float | None = None, largest_difference: float | None = None) -> DataFrame:
     """``r`` with its columns merged along similarity: each column is linked to its ``top`` most similar of at least
-    ``least``, linked columns become their smallest, and scores of merged cells add up. ``columns`` has node."""
+    ``least`` and at most ``most``, linked columns become their smallest, and scores of merged cells add up. ``columns`` has
+    node. With ``largest_difference`` a column is linked only to those whose similarity differs from that of its best by
+    no more than that."""
     from relweave.operators.relation import drop_diagonal, threshold, top_k
 
-    links = top_k(threshold(drop_diagonal(similar), least), top).select(F.col("row_idx").alias("src"), F.col("col_idx").alias("dst"))
+    close = threshold(drop_diagonal(similar), least)
+    close = close if most is None else close.filter(F.col("score") <= most)
+    if largest_difference is not None:
+        best = F.max("score").over(Window.partitionBy("row_idx"))
+        close = close.withColumn("best", best).filter(F.col("best") - F.col("score") <= largest_difference).drop("best")
+    links = top_k(close, top).select(F.col("row_idx").alias("src"), F.col("col_idx").alias("dst"))
     return remap_columns(r, components(links, columns))
 
 
 def conflate_phrases(info: DataFrame, r: DataFrame) -> DataFrame:
-    """``r`` with the columns merged whose cleaned texts are equal; ``info`` is (idx, identifier, text)."""
+    """``r`` with the columns merged whose cleaned texts are equal; ``info`` is (idx, identifier, text). Columns without a
+    text, or with one that is empty once it is cleaned, stay as they are."""
     from relweave.functions.text import clean
 
-    names = info.select(F.col("idx").alias("node"), F.min("idx").over(Window.partitionBy(clean(F.col("text")))).alias("component"))
-    return remap_columns(r, names)
+    named = info.select(F.col("idx").alias("node"), clean(F.col("text")).alias("phrase")).filter("phrase <> ''")
+    first = named.groupBy("phrase").agg(F.min("node").alias("component"))
+    # a column of several texts goes with the smallest
+    return remap_columns(r, named.join(first, "phrase").groupBy("node").agg(F.min("component").alias("component")))
 
 
 def remap_columns(r: DataFrame, mapping: DataFrame) -> DataFrame:

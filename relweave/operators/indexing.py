@@ -22,6 +22,18 @@ def dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame
     return placed.join(F.broadcast(offsets), "_part").withColumn(name, (within - 1 + F.col("_before")).cast("bigint")).drop("_part", "_before")
 
 
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows before, in the order of ``order``, which should be unique.
+
+    As ``dense_index``: only the sums of the partitions are added up in one place.
+    """
+    placed = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part").agg(F.sum(value).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_sum"))
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, within + F.col("_sum")).drop("_part", "_sum")  # a row per partition
+
+
 def hash_key(seed: int, *columns: str) -> Column:
     """A text whose order is random but the same everywhere: the md5 of the seed and the columns."""
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
@@ -38,10 +50,15 @@ def sample_share(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     return df.filter(F.conv(F.substring(hash_key(seed, key), 1, 8), 16, 10).cast("bigint") < bound)
 
 
-def sample_per_group(df: DataFrame, group: str, key: str, k: int, seed: int) -> DataFrame:
-    """Up to k rows per group in hash order."""
+def sample_per_group(df: DataFrame, group: str, key: str, k: int, seed: int, oversample: bool = False) -> DataFrame:
+    """Up to k rows per group in hash order. ``oversample`` gives exactly k: a group of fewer is repeated in that order."""
     w = Window.partitionBy(group).orderBy(hash_key(seed, group, key), key)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    few = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    if not oversample:
+        return few.drop("_r")
+    sizes = few.groupBy(group).agg(F.count("*").alias("_n"))
+    times = F.explode(F.sequence(F.lit(0), F.floor((F.lit(k) - F.col("_r")) / F.col("_n"))))
+    return few.join(sizes, group).withColumn("_t", times).drop("_r", "_n", "_t")
 
 
 def split_rows(df: DataFrame, key: str, test_rows: int, seed: int) -> DataFrame:

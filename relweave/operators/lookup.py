@@ -71,6 +71,28 @@ def neighbours_by_item(r: DataFrame, first: int) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= first).select("row_idx", "col_idx", "other_row")
 
 
+def audit_order(made: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row (same_order, same_set): whether both tables list the same identifiers in the same order of idx, and whether they
+    have the same ones."""
+    a, b = (t.select("idx", "identifier").distinct() for t in (made, wanted))
+    order = a.withColumnRenamed("identifier", "x").join(b.withColumnRenamed("identifier", "y"), "idx", "full")
+    both = a.select("identifier", F.lit(1).alias("x")).distinct().join(b.select("identifier", F.lit(1).alias("y")).distinct(), "identifier", "full")
+    one = order.agg((F.count_if(~F.col("x").eqNullSafe(F.col("y"))) == 0).alias("same_order"))
+    return one.crossJoin(both.agg((F.count_if(F.col("x").isNull() | F.col("y").isNull()) == 0).alias("same_set")))  # one row each
+
+
+def audit_triples(made: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row for two relations by name (qid, did, score): the triples of either, those only in one, whether they are identical
+    and whether they are but for the scores. Triples count once."""
+    a = made.select("qid", "did", F.col("score").cast("double").alias("score"), F.lit(1).alias("m")).distinct()
+    b = wanted.select("qid", "did", F.col("score").cast("double").alias("score"), F.lit(1).alias("w")).distinct()
+    both = a.join(b, ["qid", "did", "score"], "full")
+    counts = both.agg(F.count("m").alias("n_made"), F.count("w").alias("n_wanted"), F.count_if(F.col("w").isNull()).alias("only_made"), F.count_if(F.col("m").isNull()).alias("only_wanted"))
+    pairs = a.select("qid", "did", "m").distinct().join(b.select("qid", "did", "w").distinct(), ["qid", "did"], "full")
+    same = pairs.agg((F.count_if(F.col("m").isNull() | F.col("w").isNull()) == 0).alias("pairs_identical"))
+    return counts.withColumn("identical", (F.col("only_made") == 0) & (F.col("only_wanted") == 0)).crossJoin(same)  # one row each
+
+
 def audit_tables(made: DataFrame, wanted: DataFrame) -> DataFrame:
     """One row: entries only in either table by identifier, shared ones, and shared ones of other text or index.
 

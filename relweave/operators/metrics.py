@@ -75,6 +75,14 @@ def _from_hits(hits: DataFrame, sizes: DataFrame, ks: tuple[int, ...]) -> DataFr
     return table.select("row_idx", F.explode(F.array(*values)).alias("m")).select("row_idx", "m.metric", "m.k", "m.value")
 
 
+def pointwise_precision(run: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """(row_idx, col_idx, value): for the first k results of each row of the truth 1 / k if relevant, else 0; summed by row this
+    is the row's precision."""
+    best = ranked(run).filter(F.col("rank") <= k).join(truth.select("row_idx").distinct(), "row_idx", "left_semi")
+    relevant = truth.select("row_idx", "col_idx", F.lit(1.0 / k).alias("hit"))
+    return best.join(relevant, ["row_idx", "col_idx"], "left").select("row_idx", "col_idx", F.coalesce("hit", F.lit(0.0)).alias("value"))
+
+
 def mean_metrics(per: DataFrame) -> DataFrame:
     """(metric, k, value): the mean over rows."""
     return per.groupBy("metric", "k").agg(F.avg("value").alias("value"))

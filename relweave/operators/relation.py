@@ -8,6 +8,8 @@ empty input and are lazy.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,96 @@ def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "inner").groupBy(R, C).agg(F.sum(F.col("x") * F.col("y")).alias(S))
 
 
+#: Cells of either factor that meet in one task, and sums that it holds at a time.
+LEFT_CELLS, RIGHT_CELLS, SUMS = 500_000, 2_000_000, 2_000_000
+
+
+def _best_of_block(k: int, digits: int):
+    """Cells (row_idx, inner, x) and (inner, col_idx, y) to the k best of each row of their product."""
+
+    def run(key, left, right):
+        if not left.num_rows or not right.num_rows:
+            return pa.table({R: pa.array([], pa.int64()), C: pa.array([], pa.int64()), S: pa.array([], pa.float64())})
+        inner = right.column("inner").to_numpy()
+        order = np.argsort(inner, kind="stable")
+        inner, y = inner[order], right.column("y").to_numpy()[order]
+        cols, col = np.unique(right.column(C).to_numpy()[order], return_inverse=True)
+        rows, row = np.unique(left.column(R).to_numpy(), return_inverse=True)
+        order = np.argsort(row, kind="stable")
+        row, wanted, x = row[order], left.column("inner").to_numpy()[order], left.column("x").to_numpy()[order]
+        low, high = np.searchsorted(inner, wanted, "left"), np.searchsorted(inner, wanted, "right")
+        some = high > low
+        row, x, low, n = row[some], x[some], low[some], (high - low)[some]
+        out, at, step = [], 0, max(1, SUMS // len(cols))
+        while at < len(row):
+            # whole rows, as many as have room for their sums and, beyond one, for their products
+            last = row[at] + step
+            to = int(np.searchsorted(row, last, "left"))
+            total = np.cumsum(n[at:to])
+            if total[-1] > 4 * SUMS:
+                fits = int(np.searchsorted(row, row[at + int(np.searchsorted(total, 4 * SUMS))], "left"))
+                to = fits if fits > at else int(np.searchsorted(row, row[at], "right"))
+            own, base = row[at:to] - row[at], row[at]
+            size = (own[-1] + 1) * len(cols)
+            sums, met = np.zeros(size), np.zeros(size, bool)
+            for part in np.split(np.arange(at, to), np.flatnonzero(np.diff(np.cumsum(n[at:to]) // (8 * SUMS))) + 1):
+                rep = np.repeat(part, n[part])
+                place = np.repeat(low[part] - (np.cumsum(n[part]) - n[part]), n[part]) + np.arange(len(rep))
+                flat = (row[rep] - base) * len(cols) + col[place]
+                sums += np.bincount(flat, x[rep] * y[place], minlength=size)
+                met[flat] = True
+            sums = np.where(met, np.round(sums, digits), -np.inf).reshape(-1, len(cols))
+            kth = -np.partition(-sums, min(k, len(cols)) - 1, axis=1)[:, min(k, len(cols)) - 1]
+            r, c = np.nonzero((sums >= kth[:, None]) & met.reshape(sums.shape))
+            best = np.lexsort((c, -sums[r, c], r))
+            r, c = r[best], c[best]
+            first = np.r_[True, r[1:] != r[:-1]] if len(r) else np.empty(0, bool)
+            rank = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0)) if len(r) else r
+            r, c = r[rank < k], c[rank < k]
+            out.append((rows[r + base], cols[c], sums[r, c]))
+            at = to
+        a, b, s = (np.concatenate(v) for v in zip(*out)) if out else (np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0))
+        return pa.table({R: a, C: b, S: s})
+
+    return run
+
+
+def multiply_top_k(a: DataFrame, b: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """The k best cells of each row of the matrix product, its scores rounded to ``digits`` places; ties: smaller column first.
+
+    The product itself, in which a frequent inner index pairs a large part of all rows with a large part of all columns, is
+    never written or shuffled. The rows of ``a`` and the columns of ``b`` are dealt into blocks of bounded size; each
+    pair of blocks adds up its products in one task and passes on k cells a row. A row or a column of more cells than a
+    block is multiplied by a join and an aggregate instead. The number of products is that of ``multiply``.
+    """
+    from relweave.session import cut
+
+    x = cut(a.select(R, F.col(C).alias("inner"), F.col(S).alias("x")))
+    y = cut(b.select(F.col(R).alias("inner"), C, F.col(S).alias("y")))
+    heavy_rows = cut(x.groupBy(R).count().filter(F.col("count") > LEFT_CELLS).select(R))
+    heavy_cols = cut(y.groupBy(C).count().filter(F.col("count") > RIGHT_CELLS).select(C))
+    parts = []
+    light_x, light_y = x, y
+    if not heavy_rows.isEmpty():
+        light_x = x.join(heavy_rows, R, "left_anti")
+        parts.append(x.join(heavy_rows, R, "left_semi").join(y, "inner"))
+    if not heavy_cols.isEmpty():
+        light_y = y.join(heavy_cols, C, "left_anti")
+        parts.append(light_x.join(y.join(heavy_cols, C, "left_semi"), "inner"))
+    n, m = x.count(), y.count()
+    cores = x.sparkSession.sparkContext.defaultParallelism
+    lefts, rights = max(1, -(-n // LEFT_CELLS), min(cores, n // 1000)), max(1, -(-m // RIGHT_CELLS))
+    left = light_x.withColumn("p", F.pmod(F.xxhash64(R), F.lit(lefts)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(rights - 1))))
+    right = light_y.withColumn("q", F.pmod(F.xxhash64(C), F.lit(rights)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(lefts - 1))))
+    tasks = min(20_000, lefts * rights)
+    on = ["p", "q"]
+    grid = left.repartition(tasks, *on).groupBy(*on).cogroup(right.repartition(tasks, *on).groupBy(*on))
+    out = grid.applyInArrow(_best_of_block(k, digits), f"{R} bigint, {C} bigint, {S} double")
+    for part in parts:
+        out = out.unionByName(part.groupBy(R, C).agg(F.round(F.sum(F.col("x") * F.col("y")), digits).alias(S)))
+    return top_k(out, k)
+
+
 def cooccurrence(r: DataFrame) -> DataFrame:
     """Of the columns of ``r``, over its rows."""
     return multiply(transpose(r), r)

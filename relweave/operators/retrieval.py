@@ -103,12 +103,12 @@ def lsh_search(queries: DataFrame, documents: DataFrame, k: int, dim: int, bucke
 
 def labels_through_metadata(data_meta: DataFrame, label_meta: DataFrame, k: int) -> DataFrame:
     """The k best labels of each query by the metadata that they share: data_meta times the transpose of label_meta."""
-    return rel.top_k(rel.multiply(data_meta, rel.transpose(label_meta)), k)
+    return rel.multiply_top_k(data_meta, rel.transpose(label_meta), k)
 
 
 def map_vocabulary(a: DataFrame, b: DataFrame, k_a: int = 5, k_b: int = 1, k: int = 5) -> DataFrame:
     """Top-k of the product of two relations, each cut to its best cells first."""
-    return rel.top_k(rel.multiply(rel.top_k(a, k_a), rel.top_k(b, k_b)), k)
+    return rel.multiply_top_k(rel.top_k(a, k_a), rel.top_k(b, k_b), k)
 
 
 def hard_negatives(run: DataFrame, positives: DataFrame, skip: int = 3, band: int = 27, keep: int = 9) -> DataFrame:
@@ -196,6 +196,32 @@ def compact_columns(r: DataFrame) -> tuple[DataFrame, DataFrame]:
     return r.join(kept, "col_idx").select("row_idx", F.col("idx").alias("col_idx"), "score"), kept
 
 
+def choose_rows(scores: DataFrame, how: str, n: int, seed: int = 1000) -> DataFrame:
+    """(row_idx, value) of n rows of ``scores`` (row_idx, value): ``random`` in hash order, ``good`` those of the highest values,
+    ``bad`` those of the lowest; ties: smaller row first. With differences of two systems as values, ``good`` are the most
+    improved."""
+    from relweave.operators.indexing import sample_rows
+
+    if how == "random":
+        return sample_rows(scores.select("row_idx", "value"), "row_idx", n, seed)
+    order = {"good": F.desc("value"), "bad": F.asc("value")}[how]
+    return scores.select("row_idx", "value").orderBy(order, "row_idx").limit(n)  # a report of n rows
+
+
+def example_sets(chosen: DataFrame, queries: DataFrame, sections: dict[str, tuple[DataFrame, DataFrame, int]]) -> DataFrame:
+    """(row_idx, example): of ``chosen`` (row_idx, value) a JSON text of the query, its value as ``score``, and for each section,
+    named by its key, the k best entries of a relation with their texts and scores. A section is (relation, info, k); a row
+    without entries has an empty list."""
+    out = chosen.select("row_idx", "value").join(queries.select(F.col("idx").alias("row_idx"), F.col("text").alias("query")).dropDuplicates(["row_idx"]), "row_idx")
+    none = F.array().cast("array<struct<text:string,score:string>>")
+    for name, (r, info, k) in sections.items():
+        best = rel.ranked(r.join(chosen.select("row_idx"), "row_idx", "left_semi")).filter(F.col("rank") <= k)
+        named = best.join(info.select(F.col("idx").alias("col_idx"), "text").dropDuplicates(["col_idx"]), "col_idx")
+        entries = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text", "score"))), lambda e: F.struct(e["text"].alias("text"), F.format_string("%.4f", e["score"]).alias("score")))
+        out = out.join(named.groupBy("row_idx").agg(entries.alias(name)), "row_idx", "left").withColumn(name, F.coalesce(name, none))
+    return out.select("row_idx", F.to_json(F.struct("query", *sections, F.format_string("%.4f", F.col("value")).alias("score")), {"ignoreNullFields": "false"}).alias("example"))
+
+
 def examples(r: DataFrame, queries: DataFrame, labels: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(row_idx, example): for the rows of ``rows`` a JSON text of the query and its k best labels with scores."""
     chosen = rel.ranked(r.join(rows.select("row_idx").distinct(), "row_idx", "left_semi")).filter(F.col("rank") <= k)

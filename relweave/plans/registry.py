@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relweave.plans import graphs, rankings, records, relations, retrievals, texts
+from relweave.plans import files, graphs, rankings, records, relations, retrievals, texts
 
-MODULES = (records, relations, texts, rankings, graphs, retrievals)
+MODULES = (records, files, relations, texts, rankings, graphs, retrievals)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

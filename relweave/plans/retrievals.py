@@ -65,21 +65,21 @@ def lsh_topk(spark, d):
     return ret.lsh_search(_queries(v), v, 10, 64)
 
 
-_LM = f"(SELECT l.col_idx AS row_idx, m.col_idx, sum(l.score * m.score) AS score FROM (SELECT * FROM {LBL} QUALIFY {_RANK} <= 5) l JOIN (SELECT * FROM {META} QUALIFY {_RANK} <= 5) m ON l.row_idx = m.row_idx GROUP BY ALL)"
+_LM = f"(SELECT l.col_idx AS row_idx, m.col_idx, sum(l.score * m.score) AS score FROM {LBL} l JOIN {META} m ON l.row_idx = m.row_idx GROUP BY ALL)"
 
 
 def _label_meta(spark, d):
-    return rel.multiply(rel.transpose(rel.top_k(cells(spark, d, "data_lbl"), 5)), rel.top_k(cells(spark, d, "data_meta"), 5))
+    """The metadata of labels: those of the queries that they belong to."""
+    return rel.multiply(rel.transpose(cells(spark, d, "data_lbl")), cells(spark, d, "data_meta"))
 
 
 @query(
-    f"""WITH lm AS MATERIALIZED (SELECT row_idx, col_idx, round(score, 9) AS score FROM {_LM}), m AS (SELECT * FROM {META} QUALIFY {_RANK} <= 3),
+    f"""WITH lm AS MATERIALIZED (SELECT row_idx, col_idx, round(score, 9) AS score FROM {_LM}), m AS {META},
     p AS (SELECT m.row_idx, lm.row_idx AS col_idx, round(sum(m.score * lm.score), 9) AS score FROM m JOIN lm ON m.col_idx = lm.col_idx GROUP BY ALL) SELECT row_idx, col_idx, round(score + 1e-10, 6) AS score FROM p QUALIFY {_RANK} <= 10"""
 )
 def labels_through_metadata(spark, d):
     label_meta = _label_meta(spark, d).withColumn("score", F.round("score", 9))
-    product = rel.multiply(rel.top_k(cells(spark, d, "data_meta"), 3), rel.transpose(label_meta)).withColumn("score", F.round("score", 9))
-    return rounded(rel.top_k(product, 10))
+    return rounded(ret.labels_through_metadata(cells(spark, d, "data_meta"), label_meta, 10))
 
 
 @query(
@@ -88,9 +88,8 @@ def labels_through_metadata(spark, d):
 )
 def map_vocabulary(spark, d):
     """Queries to metadata through their best labels and the best phrase of each."""
-    second = rel.top_k(_label_meta(spark, d).withColumn("score", F.round("score", 9)), 1)
-    product = rel.multiply(rel.top_k(cells(spark, d, "data_lbl"), 5), second).withColumn("score", F.round("score", 9))
-    return rel.top_k(product, 5).select("row_idx", "col_idx")
+    label_meta = _label_meta(spark, d).withColumn("score", F.round("score", 9))
+    return ret.map_vocabulary(cells(spark, d, "data_lbl"), label_meta).select("row_idx", "col_idx")
 
 
 @query(f"SELECT row_idx, col_idx, score FROM (SELECT * FROM {_RUN} n WHERE NOT EXISTS (SELECT 1 FROM {LBL} l WHERE l.row_idx = n.row_idx AND l.col_idx = n.col_idx)) QUALIFY {_RANK} BETWEEN 4 AND 12")

@@ -45,6 +45,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, which ``clear_cut`` deletes."""
+    return f"{shared_folder(spark)}/relweave-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -52,7 +57,7 @@ def cut(df: DataFrame) -> DataFrame:
     stage, and survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/relweave-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -64,6 +69,42 @@ def clear_cut(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop path of ``path`` and its file system: local, shared or remote."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def file_exists(spark: SparkSession, path: str) -> bool:
+    hadoop, fs = _file_system(spark, path)
+    return fs.exists(hadoop)
+
+
+def list_files(spark: SparkSession, folder: str) -> list[str]:
+    """The paths of a folder's entries, by name."""
+    hadoop, fs = _file_system(spark, folder)
+    return sorted(s.getPath().toString() for s in fs.listStatus(hadoop))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A whole small file, such as a configuration."""
+    hadoop, fs = _file_system(spark, path)
+    stream = fs.open(hadoop)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    hadoop, fs = _file_system(spark, path)
+    stream = fs.create(hadoop, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relweave.functions.text import blank_controls
+from relweave.session import file_exists, read_text, write_text
+
+
+#: Quotes are doubled, and blanks around a text stay.
+_EXACT = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_relation(r: DataFrame, path: str) -> None:
@@ -19,11 +23,11 @@ def write_info(info: DataFrame, path: str, separator: str = ",", clean: bool = F
     """(identifier, text) with a header, in the order of idx across the files; ``clean`` blanks control characters."""
     rows = info.repartitionByRange("idx").sortWithinPartitions("idx")
     text = blank_controls(F.col("text")) if clean else F.col("text")
-    rows.select("identifier", text.alias("text")).write.mode("overwrite").csv(path, header=True, sep=separator, quote='"', escape='"', emptyValue="")
+    rows.select("identifier", text.alias("text")).write.mode("overwrite").csv(path, header=True, sep=separator, emptyValue="", **_EXACT)
 
 
 def write_table(df: DataFrame, path: str, separator: str = "\t") -> None:
-    df.write.mode("overwrite").csv(path, header=True, sep=separator, quote='"', escape='"')
+    df.write.mode("overwrite").csv(path, header=True, sep=separator, **_EXACT)
 
 
 def write_examples(df: DataFrame, path: str) -> None:
@@ -35,19 +39,18 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     """(metric, k, value) as one JSON object {metric@k: value}, rounded to 5 places."""
     named = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("@", "metric", F.col("k").cast("string")), F.round("value", 5)))))
     text = metrics.agg(F.to_json(named).alias("m")).first()[0]  # a row per metric and cutoff
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(json.loads(text), indent=4))
+    write_text(metrics.sparkSession, path, json.dumps(json.loads(text), indent=4))
 
 
-def collate_metrics(paths: dict[str, str]) -> dict[str, dict[str, float]]:
+def collate_metrics(spark: SparkSession, paths: dict[str, str]) -> dict[str, dict[str, float]]:
     """The metric files of several datasets in one; files that are missing are left out."""
-    out = {}
-    for dataset, path in paths.items():
-        if os.path.exists(path):
-            with open(path, encoding="utf-8") as f:
-                out[dataset] = json.load(f)
-    return out
+    return {dataset: json.loads(read_text(spark, path)) for dataset, path in paths.items() if file_exists(spark, path)}
+
+
+def metrics_table(spark: SparkSession, collated: dict[str, dict[str, float]]) -> DataFrame:
+    """(dataset, metric, value) of collated metrics, for printing side by side."""
+    rows = [(d, m, float(v)) for d, values in sorted(collated.items()) for m, v in values.items()]
+    return spark.createDataFrame(rows, "dataset string, metric string, value double")
 
 
 def run_to_relation(run: DataFrame, queries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +66,5 @@ def nested_run(run: DataFrame) -> DataFrame:
     return run.groupBy("qid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("did", "score")))).alias("docs"))
 
 
-def write_config(path: str, key: str, paths: dict, parameters: dict) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({key: {"path": paths, "parameters": parameters}}, f, indent=4)
+def write_config(spark: SparkSession, path: str, key: str, paths: dict, parameters: dict) -> None:
+    write_text(spark, path, json.dumps({key: {"path": paths, "parameters": parameters}}, indent=4))

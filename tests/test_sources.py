@@ -32,6 +32,29 @@ def test_query_column(spark, tmp_path):
     (tmp_path / "q.tsv").write_text("id\tText\n1\thello\n", encoding="utf-8")
     assert [r.text for r in readers.read_queries(spark, str(tmp_path / "q.tsv")).collect()] == ["hello"]
     assert readers.text_column(["a", "QUERY", "text"]) == "QUERY" and readers.text_column(["a", "b"]) == "a"
+    assert readers.text_column(["text", "query"]) == "text" and readers.text_column(["text", "b"], "b") == "b"
+    with pytest.raises(KeyError):
+        readers.read_queries(spark, str(tmp_path / "q.tsv"), column="none")
+    assert [r.text for r in readers.read_queries(spark, str(tmp_path / "q.tsv"), column="id").collect()] == ["1"]
+
+
+def test_records_over_several_lines_and_splits(spark, tmp_path):
+    """Files are split inside quoted fields, and yet every record comes out whole."""
+    want = {}
+    for part in range(3):
+        lines = ["identifier,text"]
+        for k in range(part * 400, part * 400 + 400):
+            want[f"id{k}"] = t = f'a "{k}", b\n\nline {k}\n"' if k % 3 else f"plain {k}"
+            lines.append(f'id{k},"{t.replace(chr(34), chr(34) * 2)}"' if k % 3 else f"id{k},{t}")
+        (tmp_path / f"part-{part}.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = readers.read_csv(spark, str(tmp_path)).orderBy("idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.identifier: r.text for r in rows} == want
+    assert [r.idx for r in rows] == list(range(1200)) and [r.identifier for r in rows] == [f"id{k}" for k in range(1200)]
 
 
 def test_shards_npz_vectors_cache(spark, tmp_path):
@@ -54,16 +77,18 @@ def test_shards_npz_vectors_cache(spark, tmp_path):
     for _ in range(2):
         assert readers.cached(spark, "t", make, f"file://{tmp_path}").count() == 1
     assert len(calls) == 1
+    readers.cached(spark, "t", make, f"file://{tmp_path}", {"top": 3})
+    assert len(calls) == 2
 
 
 def test_config_metrics_run(spark, tmp_path):
-    writers.write_config(str(tmp_path / "c.json"), "data", {"train": {"lbl_info": "a"}, "test": {}}, {"top": 3})
-    assert readers.label_info_path(readers.read_config(str(tmp_path / "c.json"), "data")) == "a"
+    writers.write_config(spark, str(tmp_path / "c.json"), "data", {"train": {"lbl_info": "a"}, "test": {}}, {"top": 3})
+    assert readers.label_info_path(readers.read_config(spark, str(tmp_path / "c.json"), "data")) == "a"
     assert readers.expand_datasets("all", ["a/b", "c"], ("c",)) == [("a/b", "a-b")]
     m = spark.createDataFrame([("P", 1, 0.123456), ("P", 5, 0.5)], "metric string, k int, value double")
     writers.write_metrics(m, str(tmp_path / "m.json"))
     assert json.loads((tmp_path / "m.json").read_text()) == {"P@1": 0.12346, "P@5": 0.5}
-    assert list(writers.collate_metrics({"x": str(tmp_path / "m.json"), "y": "none"})) == ["x"]
+    assert list(writers.collate_metrics(spark, {"x": str(tmp_path / "m.json"), "y": "none"})) == ["x"]
     run = spark.createDataFrame([("q", "d", 1.0), ("q", "ghost", 0.5)], "qid string, did string, score double")
     info = lambda n: spark.createDataFrame([(0, n)], "idx bigint, identifier string")
     known, unknown = writers.run_to_relation(run, info("q"), info("d"))
@@ -72,6 +97,15 @@ def test_config_metrics_run(spark, tmp_path):
     r = spark.createDataFrame([(0, c, float(c)) for c in range(6)], "row_idx bigint, col_idx bigint, score double")
     block = readers.build_block({"lnk": r, "neg": r}, {"lnk": 3, "neg": None}, {"lnk": 2, "neg": 4})
     assert block["lnk"].count() == 2 and block["neg"].count() == 4
+    blocks = readers.build_blocks({"train": {"lnk": r}, "test": {"lnk": r}}, {"train": {"top": {"lnk": 3}, "samples": {"lnk": 8}, "oversample": True}})
+    assert blocks["train"]["lnk"].count() == 8 and blocks["train"]["lnk"].distinct().count() == 3 and blocks["test"]["lnk"].count() == 6
+
+
+def test_early_fusion_skips_missing(spark, tmp_path):
+    (tmp_path / "a-b.csv").write_text("identifier,text\n1,x\n2,y\n")
+    rows, missing = readers.early_fusion_inputs(spark, ["a/b", "c", "d"], str(tmp_path) + "/{dataset}.csv", ("d",))
+    assert rows.count() == 2 and missing == ["c"] and rows.first().dataset == "a/b"
+    assert readers.early_fusion_inputs(spark, ["c"], str(tmp_path) + "/{dataset}.csv") == (None, ["c"])
 
 
 ID = "lbl-000000001"
