@@ -109,13 +109,18 @@ def fill_to_budget(text: Column, items: Column, budget: int, separator: str = "
     Items of no words do not fill; if there are none that do, the text stays alone.
     """
     words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    full = F.filter(items, lambda x: words(x) > 0)
-    rounds = F.sequence(F.lit(0), F.greatest(F.lit(0), F.lit(budget) - words(text)))
-    state = F.struct(text.alias("t"), words(text).alias("n"))
-    grown = F.aggregate(
-        rounds, state,
-        lambda s, k: F.when((s["n"] >= budget) | (F.size(full) == 0), s).otherwise(
-            F.struct(F.concat(s["t"], F.lit(separator), F.get(full, F.pmod(k, F.size(full)))).alias("t"), (s["n"] + words(F.get(full, F.pmod(k, F.size(full))))).alias("n"))
-        ),
-    )
-    return grown["t"]
+    counted = F.filter(F.transform(items, lambda x: F.struct(x.alias("t"), words(x).alias("n"))), lambda e: e["n"] > 0)
+
+    def grown(full: Column) -> Column:
+        state = F.struct(text.alias("t"), words(text).alias("n"))
+        rounds = F.sequence(F.lit(0), F.greatest(F.lit(0), F.lit(budget) - words(text)))
+
+        def step(s: Column, k: Column) -> Column:
+            item = F.get(full, F.pmod(k, F.size(full)))
+            more = F.struct(F.concat(s["t"], F.lit(separator), item["t"]).alias("t"), (s["n"] + item["n"]).alias("n"))
+            return F.when((s["n"] >= budget) | (F.size(full) == 0), s).otherwise(more)
+
+        return F.aggregate(rounds, state, step)["t"]
+
+    # the items are bound once, as the only element of an array, and not worked out again in every round
+    return F.transform(F.array(counted), grown)[0]

@@ -262,16 +262,23 @@ def node_rank_walks(reset: DataFrame, forward: DataFrame, restart: float = 0.5,
 # --- expansion and conflation
 
 
-def multi_hop(r: DataFrame, most_labels: int = 4) -> DataFrame:
+def multi_hop(r: DataFrame, most_labels: int = 4, hops: int | None = None) -> DataFrame:
     """(row_idx, path, rest): every ordered choice of a row's labels, the empty one included; ``rest`` are the labels left.
 
-    n labels give sum n!/(n - k)! rows, so rows of more than ``most_labels`` labels are refused with an error.
+    n labels give sum n!/(n - k)! rows, so rows of more than ``most_labels`` labels are refused with an error. With
+    ``hops`` a choice has at most so many labels, out of however many the row has.
     """
+    if hops is not None:
+        level = r.groupBy("row_idx").agg(F.array_sort(F.collect_set("col_idx")).alias("rest")).select("row_idx", F.array().cast("array<bigint>").alias("path"), "rest")
+        return _choices(level, hops)
     lists = r.groupBy("row_idx").agg(F.array_sort(F.collect_set("col_idx")).alias("rest"), F.count_distinct("col_idx").alias("n"))
     checked = lists.withColumn("rest", F.when(F.col("n") > most_labels, F.raise_error(F.lit(f"a row has more than {most_labels} labels"))).otherwise(F.col("rest")))
-    level = checked.select("row_idx", F.array().cast("array<bigint>").alias("path"), "rest")
+    return _choices(checked.select("row_idx", F.array().cast("array<bigint>").alias("path"), "rest"), most_labels)
+
+
+def _choices(level: DataFrame, hops: int) -> DataFrame:
     out = level
-    for _ in range(most_labels):
+    for _ in range(hops):
         level = level.withColumn("pick", F.explode("rest")).select("row_idx", F.concat("path", F.array("pick")).alias("path"), F.array_remove("rest", F.col("pick")).alias("rest"))
         out = out.unionByName(level)
     return out

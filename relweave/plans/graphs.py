@@ -166,6 +166,26 @@ def random_walk(spark, d):
     return graph.random_walks(edges, edges.select(F.col("src").alias("node")), seed=3)
 
 
+@query(
+    f"""WITH {_EDGES}, reset AS (SELECT DISTINCT n_regionkey::BIGINT AS row_idx, 2 * s_suppkey AS col_idx FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    place AS (SELECT node, row_number() OVER (ORDER BY md5(concat_ws('-', '5', node::VARCHAR)), node) - 1 AS place FROM (SELECT DISTINCT src AS node FROM e)),
+    drawn AS (SELECT row_idx, (('0x' || substr(md5(concat_ws('-', '5', row_idx::VARCHAR)), 1, 12))::BIGINT % (SELECT count(*) FROM place) + k) % (SELECT count(*) FROM place) AS place FROM (SELECT DISTINCT row_idx FROM reset), unnest(range(0, 20)) AS t(k))
+    SELECT row_idx, col_idx FROM reset UNION SELECT row_idx, node FROM drawn JOIN place USING (place)"""
+)
+def seed_nodes(spark, d):
+    """The suppliers of each region and 20 random nodes of the supplier-part graph."""
+    reset = _region_seeds(spark, d).select(F.col("query").alias("row_idx"), F.col("node").cast("bigint").alias("col_idx"))
+    return graph.seed_nodes(reset, _supply_edges(spark, d).select(F.col("src").alias("node")), 20, 5)
+
+
+@query()
+def node_rank_parts(spark, d):
+    """Walks from the regions' suppliers and 20 random nodes each, of which only the visits to parts count."""
+    forward = cut(_supply_edges(spark, d).select(F.col("src").alias("row_idx"), F.col("dst").alias("col_idx"), F.col("weight").alias("score")))
+    reset = _region_seeds(spark, d).select(F.col("query").alias("row_idx"), F.col("node").cast("bigint").alias("col_idx"), F.col("weight").alias("score"))
+    return graph.node_rank_walks(reset, forward, seed=3, num_seed_nodes=20, kept=forward.filter("row_idx % 2 = 1").select(F.col("row_idx").alias("node")))
+
+
 @query()
 def node_rank_walk(spark, d):
     """Walks over suppliers and parts, restarting to the regions' suppliers."""
@@ -174,25 +194,22 @@ def node_rank_walk(spark, d):
     return graph.node_rank_walks(reset, forward, seed=3)
 
 
-_TOP3 = f"(SELECT row_idx, col_idx FROM {LBL} QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY score DESC, col_idx) <= 3)"
-
-
 @query(
-    f"""WITH RECURSIVE l AS MATERIALIZED (SELECT row_idx, list(col_idx ORDER BY col_idx) AS rest FROM {_TOP3} GROUP BY row_idx),
+    f"""WITH RECURSIVE l AS MATERIALIZED (SELECT row_idx, list(col_idx ORDER BY col_idx) AS rest FROM {LBL} GROUP BY row_idx),
     x(row_idx, path, rest) AS (SELECT row_idx, []::BIGINT[], rest FROM l UNION ALL
-      SELECT row_idx, list_append(path, pick), list_filter(rest, lambda y: y <> pick) FROM (SELECT row_idx, path, rest, unnest(rest) AS pick FROM x))
+      SELECT row_idx, list_append(path, pick), list_filter(rest, lambda y: y <> pick) FROM (SELECT row_idx, path, rest, unnest(rest) AS pick FROM x WHERE len(path) < 2))
     SELECT row_idx, array_to_string(path, ',') AS path, array_to_string(rest, ',') AS rest FROM x"""
 )
 def multihop_expand(spark, d):
-    r = rel.top_k(cells(spark, d, "data_lbl"), 3)
+    """Every ordered choice of up to two of a query's labels."""
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return graph.multi_hop(r, 3).select("row_idx", join("path"), join("rest"))
+    return graph.multi_hop(cells(spark, d, "data_lbl"), hops=2).select("row_idx", join("path"), join("rest"))
 
 
 @query(
-    f"""WITH RECURSIVE l AS MATERIALIZED (SELECT row_idx, list(col_idx ORDER BY col_idx) AS rest FROM {_TOP3} GROUP BY row_idx),
+    f"""WITH RECURSIVE l AS MATERIALIZED (SELECT row_idx, list(col_idx ORDER BY col_idx) AS rest FROM {LBL} GROUP BY row_idx),
     x(row_idx, path, rest) AS (SELECT row_idx, []::BIGINT[], rest FROM l UNION ALL
-      SELECT row_idx, list_append(path, pick), list_filter(rest, lambda y: y <> pick) FROM (SELECT row_idx, path, rest, unnest(rest) AS pick FROM x)),
+      SELECT row_idx, list_append(path, pick), list_filter(rest, lambda y: y <> pick) FROM (SELECT row_idx, path, rest, unnest(rest) AS pick FROM x WHERE len(path) < 2)),
     s AS (SELECT row_idx, path, unnest(path) AS col_idx, generate_subscripts(path, 1) AS pos FROM x),
     g AS (SELECT row_idx, path, string_agg('_lbl-' || s.col_idx, '' ORDER BY pos) AS names, string_agg(' [SEP] ' || t.text, '' ORDER BY pos) AS texts, count(*) AS n, count(t.text) AS m
       FROM s LEFT JOIN {info_sql('label_raw')} t ON s.col_idx = t.idx GROUP BY row_idx, path)
@@ -201,15 +218,31 @@ def multihop_expand(spark, d):
 )
 def multihop_texts(spark, d):
     """Reformulated queries: the text and those of chosen labels."""
-    paths = graph.multi_hop(rel.top_k(cells(spark, d, "data_lbl"), 3), 3)
+    paths = graph.multi_hop(cells(spark, d, "data_lbl"), hops=2)
     return graph.expanded_queries(paths, info(spark, d, "data_info"), info(spark, d, "label_raw"))
 
 
-@query()
+_STEP = f"""co AS (SELECT a.col_idx AS row_idx, b.col_idx, sum(a.score * b.score) AS score FROM {LBL} a JOIN {LBL} b ON a.row_idx = b.row_idx WHERE a.col_idx <> b.col_idx GROUP BY ALL),
+ sc AS (SELECT row_idx, col_idx, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS score FROM (SELECT *, min(score) OVER (PARTITION BY row_idx) AS lo, max(score) OVER (PARTITION BY row_idx) AS hi FROM co)),
+ st AS MATERIALIZED (SELECT row_idx, col_idx, round(score, 9) AS score FROM sc WHERE score <> 0 QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY round(score, 9) DESC, col_idx) <= 4)"""
+
+
+def _beam_sql(before: str, after: str) -> str:
+    return f"""{after}g AS (SELECT b.row_idx, b.path, b.score, s.col_idx AS hop, s.score AS w FROM {before} b JOIN st s ON b.path[len(b.path)] = s.row_idx WHERE NOT list_contains(b.path, s.col_idx)
+      QUALIFY row_number() OVER (PARTITION BY b.row_idx, b.path ORDER BY s.score DESC, s.col_idx) <= 2),
+    {after} AS MATERIALIZED (SELECT row_idx, list_append(path, hop) AS path, score * w AS score FROM {after}g QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY score * w DESC, list_append(path, hop)) <= 5)"""
+
+
+@query(
+    f"""WITH {_STEP}, b0 AS MATERIALIZED (SELECT row_idx, [col_idx] AS path, round(score, 9) AS score FROM {LBL} QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY round(score, 9) DESC, [col_idx]) <= 5),
+    {_beam_sql('b0', 'b1')}, {_beam_sql('b1', 'b2')} SELECT row_idx, array_to_string(path, ',') AS path, round(score + 1e-10, 6) AS score FROM b2"""
+)
 def beam_hops(spark, d):
     """Beams from each query's labels over labels that share queries."""
     r = cells(spark, d, "data_lbl")
-    return graph.beam_hops(rel.top_k(r, 3), rel.row_minmax(rel.drop_diagonal(rel.cooccurrence(r))), 2, 2, 5).select("row_idx", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), "score")
+    nine = F.round("score", 9)  # sums of either engine differ in the last places
+    step = rel.row_minmax(rel.drop_diagonal(rel.cooccurrence(r))).withColumn("score", nine)
+    return graph.beam_hops(r.withColumn("score", nine), step, 2, 2, 5).select("row_idx", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), r6("score"))
 
 
 @query(
@@ -222,9 +255,21 @@ def conflate_phrases(spark, d):
     return rounded(graph.conflate_phrases(info(spark, d, "meta_info"), cells(spark, d, "data_meta")))
 
 
-@query()
+_SIMILAR = f"""co AS (SELECT a.col_idx AS row_idx, b.col_idx, sum(a.score * b.score) AS score FROM {LBL} a JOIN {LBL} b ON a.row_idx = b.row_idx GROUP BY ALL),
+ mm AS (SELECT row_idx, col_idx, round(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 9) AS score FROM (SELECT *, min(score) OVER (PARTITION BY row_idx) AS lo, max(score) OVER (PARTITION BY row_idx) AS hi FROM co))"""
+
+
+@query(
+    rounded_sql(
+        f"""WITH RECURSIVE {_SIMILAR}, near AS (SELECT * FROM mm WHERE row_idx <> col_idx AND score BETWEEN 0.7 AND 0.999 QUALIFY max(score) OVER (PARTITION BY row_idx) - score <= 0.1),
+    link AS MATERIALIZED (SELECT row_idx AS a, col_idx AS b FROM near QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY score DESC, col_idx) <= 2),
+    ends AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link), reach(node, other) AS (SELECT a, a FROM ends UNION SELECT reach.node, ends.b FROM reach JOIN ends ON reach.other = ends.a),
+    name AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+    SELECT row_idx, coalesce(component, col_idx) AS col_idx, sum(score) AS score FROM {LBL} LEFT JOIN name ON col_idx = node GROUP BY ALL"""
+    )
+)
 def conflate_similar(spark, d):
-    """Labels merged that share queries about as much as they share them with any."""
+    """Labels merged that share queries about as much as they share them with any, but not only with each other."""
     r = cells(spark, d, "data_lbl")
-    similar = rel.row_minmax(rel.cooccurrence(r))
-    return rounded(graph.conflate_similar(similar, r, rel.non_empty(r, "col_idx").withColumnRenamed("col_idx", "node"), 1, 0.7))
+    similar = rel.row_minmax(rel.cooccurrence(r), drop_zero=False).withColumn("score", F.round("score", 9))
+    return rounded(graph.conflate_similar(similar, r, rel.non_empty(r, "col_idx").withColumnRenamed("col_idx", "node"), 2, 0.7, 0.999, 0.1))

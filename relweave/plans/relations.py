@@ -341,6 +341,22 @@ def sample_per_row(spark, d):
     return indexing.sample_per_group(cells(spark, d, "data_meta"), "row_idx", "col_idx", 2, 3)
 
 
+@query(
+    f"""WITH s AS (SELECT row_idx, col_idx, row_number() OVER (PARTITION BY row_idx ORDER BY {_H.format(seed=3, cols='row_idx::VARCHAR, col_idx::VARCHAR')}, col_idx) AS r, least(6, count(*) OVER (PARTITION BY row_idx)) AS n
+      FROM {META} QUALIFY r <= 6) SELECT row_idx, col_idx, count(*) AS n FROM s, unnest(range(0, 6)) AS t(k) WHERE r + k * n <= 6 GROUP BY ALL"""
+)
+def sample_oversampled(spark, d):
+    """Six cells of every row; rows of fewer repeat theirs."""
+    return indexing.sample_per_group(cells(spark, d, "data_meta"), "row_idx", "col_idx", 6, 3, oversample=True).groupBy("row_idx", "col_idx").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT idx, dataset FROM (SELECT DISTINCT idx, dataset FROM label_raw WHERE dataset IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY {_H.format(seed=8, cols='dataset, idx::VARCHAR')}, idx) <= 10")
+def sample_per_dataset(spark, d):
+    """A sampling operator: ten passages of every dataset."""
+    rows = table(spark, d, "label_raw").filter("dataset IS NOT NULL").select("idx", "dataset").distinct()
+    return indexing.sample_per_group(rows, "dataset", "idx", 10, 8)
+
+
 @query(f"SELECT idx, CASE WHEN row_number() OVER (ORDER BY {_H.format(seed=12, cols='idx::VARCHAR')}, idx) <= 200 THEN 'test' ELSE 'train' END AS part FROM (SELECT DISTINCT idx FROM data_info)")
 def train_test_split(spark, d):
     return indexing.split_rows(table(spark, d, "data_info").select("idx").distinct(), "idx", 200, 12)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from relweave.operators import lookup
+from relweave.operators import lookup, metrics
 from relweave.operators import relation as rel
 from relweave.operators import retrieval as ret
 from relweave.plans.common import LBL, META, NEG, cells, info, info_sql, r6, rounded, rounded_sql
 from relweave.plans.rankings import _RUN, run
-from relweave.session import table
+from relweave.session import cut, table
 
 QUERIES, SQL = {}, {}
 
@@ -58,6 +58,16 @@ def two_tower_truncate(spark, d):
     return rounded(ret.two_tower_search(_queries(v), v, 10, 32))
 
 
+@query("SELECT count(*) FILTER (vec_id % 50 = 0) AS n_queries, count(*) FILTER (vec_id % 50 = 0) * least(10, count(*)) AS n_neighbours, true AS enough FROM embeddings")
+def lsh_recall(spark, d):
+    """The stated queries, their neighbours by exact search, and whether approximate search finds 9 of 10 of them."""
+    v = _vectors(spark, d, "embeddings")
+    exact = ret.exact_search(_queries(v), v, 10, 64).select("row_idx", "col_idx")
+    found = ret.lsh_search(_queries(v), v, 10, 64).select("row_idx", "col_idx", F.lit(True).alias("found"))
+    both = exact.join(found, ["row_idx", "col_idx"], "left")
+    return both.agg(F.count_distinct("row_idx").alias("n_queries"), F.count("*").alias("n_neighbours"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query()
 def lsh_topk(spark, d):
     """Approximate search of the stated queries over the embeddings; the tests measure its recall."""
@@ -99,12 +109,13 @@ def hard_negative_band(spark, d):
 
 @query(
     f"""WITH n AS (SELECT * FROM {NEG} x WHERE NOT EXISTS (SELECT 1 FROM {LBL} l WHERE l.row_idx = x.row_idx AND l.col_idx = x.col_idx))
-    SELECT DISTINCT row_idx, col_idx, 1.0::DOUBLE AS score FROM (SELECT row_idx, col_idx FROM n QUALIFY {_RANK} <= 25 UNION ALL SELECT row_idx, col_idx FROM (SELECT row_idx, col_idx, -score AS score FROM n) QUALIFY {_RANK} <= 25)"""
+    SELECT DISTINCT row_idx, col_idx, 1.0::DOUBLE AS score FROM (SELECT row_idx, col_idx FROM n QUALIFY {_RANK} <= 25 UNION ALL
+      SELECT row_idx, col_idx FROM (SELECT x.row_idx, x.col_idx, x.score / c.n AS score FROM n x JOIN (SELECT col_idx, count(*) AS n FROM {NEG} GROUP BY col_idx) c USING (col_idx)) QUALIFY {_RANK} <= 25)"""
 )
 def negatives_union(spark, d):
-    """The negatives of two runs, here the best and the worst scores of one."""
+    """The negatives of two models: one ranks by score, the other favours rare labels."""
     r = cells(spark, d, "data_neg")
-    return ret.combined_negatives([r, rel.scale(r, -1.0)], cells(spark, d, "data_lbl"), 25)
+    return ret.combined_negatives([r, rel.column_scale_by_count(r)], cells(spark, d, "data_lbl"), 25)
 
 
 @query(f"SELECT row_idx, least, count(*) AS n, min(score) AS worst FROM {NEG}, (SELECT unnest([0.7, 0.8, 0.9])::DOUBLE AS least) WHERE score >= least GROUP BY row_idx, least")
@@ -186,22 +197,93 @@ def compact_columns(spark, d):
     return ret.compact_columns(cells(spark, d, "data_lbl"))[0]
 
 
-@query()
+_EX_TEXT = f"(SELECT DISTINCT idx, text FROM {info_sql('{t}')})"
+
+
+def _section(r: str, k: int, name: str) -> str:
+    return f"""{name} AS (SELECT row_idx, list({{{{'text': text, 'score': printf('%.4f', score)}}}} ORDER BY score DESC, col_idx) AS l FROM (SELECT * FROM {r} QUALIFY {_RANK} <= {k})
+      JOIN {info_sql('{info}')} ON col_idx = idx GROUP BY row_idx)"""
+
+
+def _chosen_sql(how: str, order: str) -> str:
+    """Examples of 12 rows by the difference of the reciprocal ranks of two runs."""
+    first = lambda r: f"(SELECT r.row_idx, 1.0 / min(r.rank) AS v FROM (SELECT row_idx, col_idx, {_RANK} AS rank FROM {r}) r JOIN {LBL} l USING (row_idx, col_idx) WHERE rank <= 10 GROUP BY r.row_idx)"
+    sections = ", ".join((_section(LBL, 3, "lbl").replace("{info}", "label_raw"), _section(META, 5, "meta").replace("{info}", "meta_info"))).replace("{{", "{").replace("}}", "}")
+    return f"""WITH t AS (SELECT DISTINCT row_idx FROM {LBL}), v AS (SELECT row_idx, round(coalesce(a.v, 0) - coalesce(b.v, 0), 9) AS value FROM t LEFT JOIN {first(_RUN)} a USING (row_idx) LEFT JOIN {first(NEG)} b USING (row_idx)),
+    c AS (SELECT row_idx, value FROM v ORDER BY {order} LIMIT 12), {sections}
+    SELECT '{how}' AS how, c.row_idx, to_json({{'query': q.text, 'labels': coalesce(lbl.l, []), 'metadata': coalesce(meta.l, []), 'score': printf('%.4f', value)}})::VARCHAR AS example
+    FROM c JOIN {info_sql('data_info')} q ON c.row_idx = q.idx LEFT JOIN lbl ON c.row_idx = lbl.row_idx LEFT JOIN meta ON c.row_idx = meta.row_idx"""
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT * FROM ({_chosen_sql(how, order)})"
+        for how, order in (("good", "value DESC, row_idx"), ("bad", "value, row_idx"), ("random", "md5(concat_ws('-', '1000', row_idx::VARCHAR)), row_idx"))
+    )
+)
+def examples_chosen(spark, d):
+    """Reports of 12 queries each: the most improved by a second run, the most harmed, and random ones, with their labels and
+    metadata."""
+    lbl = cells(spark, d, "data_lbl")
+    rank = lambda r: metrics.per_query(r, lbl, (10,)).filter("metric = 'MRR'").select("row_idx", "value")
+    scores = cut(metrics.compare(rank(run(spark, d)), rank(cells(spark, d, "data_neg"))).select("row_idx", F.round("difference", 9).alias("value")))
+    sections = {"labels": (lbl, info(spark, d, "label_raw"), 3), "metadata": (cells(spark, d, "data_meta"), info(spark, d, "meta_info"), 5)}
+    parts = [ret.example_sets(cut(ret.choose_rows(scores, how, 12)), info(spark, d, "data_info"), sections).select(F.lit(how).alias("how"), "row_idx", "example") for how in ("good", "bad", "random")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    f"""SELECT row_idx, to_json({{'query': any_value(q.text), 'labels': list({{'label': l.text, 'score': printf('%.4f', score)}} ORDER BY score DESC, col_idx)}})::VARCHAR AS example
+    FROM (SELECT * FROM {LBL} QUALIFY {_RANK} <= 3) JOIN {info_sql('data_info')} q ON row_idx = q.idx JOIN {info_sql('label_raw')} l ON col_idx = l.idx WHERE q.text IS NOT NULL AND l.text IS NOT NULL GROUP BY row_idx"""
+)
 def examples(spark, d):
     """Queries with their three best labels, as JSON; all queries of the relation."""
     r = cells(spark, d, "data_lbl")
-    return ret.examples(r, info(spark, d, "data_info"), info(spark, d, "label_raw"), rel.non_empty(r), 3)
+    named = info(spark, d, "data_info").filter("text IS NOT NULL"), info(spark, d, "label_raw").filter("text IS NOT NULL")
+    return ret.examples(r, *named, rel.non_empty(r), 3)
 
 
-@query(
-    f"""SELECT 'fact' AS corpus, row_idx, col_idx FROM {META} QUALIFY {_RANK} <= 3 UNION ALL SELECT 'label', row_idx, col_idx FROM {LBL} QUALIFY {_RANK} <= 3"""
-)
+@query(f"SELECT 'fact' AS corpus, row_idx, col_idx, {_RANK} AS rank FROM {META} UNION ALL SELECT 'label', row_idx, col_idx, {_RANK} FROM {LBL}")
 def prediction_by_corpus(spark, d):
-    """Results over two corpora, each with its own table, in one."""
-    parts = [rel.top_k(cells(spark, d, t), 3).select(F.lit(c).alias("corpus"), "row_idx", "col_idx") for c, t in (("fact", "data_meta"), ("label", "data_lbl"))]
+    """Results over two corpora, each with its own table, ranked and in one."""
+    parts = [rel.ranked(cells(spark, d, t)).select(F.lit(c).alias("corpus"), "row_idx", "col_idx", F.col("rank").cast("bigint").alias("rank")) for c, t in (("fact", "data_meta"), ("label", "data_lbl"))]
     return parts[0].unionByName(parts[1])
 
 
+@query(
+    f"""SELECT p.row_idx, p.col_idx, CASE WHEN l.row_idx IS NULL THEN 0.0::DOUBLE ELSE 0.2::DOUBLE END AS value FROM (SELECT * FROM {_RUN} QUALIFY {_RANK} <= 5) p LEFT JOIN {LBL} l USING (row_idx, col_idx)
+    WHERE p.row_idx IN (SELECT row_idx FROM {LBL})"""
+)
+def pointwise_precision(spark, d):
+    """For each of the five best results whether it is relevant, as its part of the precision."""
+    return metrics.pointwise_precision(run(spark, d), cells(spark, d, "data_lbl"), 5)
+
+
+_TRIPLED = "(SELECT 'q' || row_idx AS qid, 'd' || col_idx AS did, round(score, 9) AS score FROM {r})"
+
+
+@query(
+    f"""WITH a AS {_TRIPLED.format(r=LBL)}, b AS (SELECT qid, did, CASE WHEN did LIKE '%7' THEN score + 1 ELSE score END AS score FROM {_TRIPLED.format(r=LBL)} WHERE did NOT LIKE '%5')
+    SELECT (SELECT count(*) FROM a) AS n_made, (SELECT count(*) FROM b) AS n_wanted, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_made,
+    (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_wanted, false AS identical, false AS pairs_identical
+    UNION ALL SELECT count(*), count(*), 0, 0, true, true FROM a"""
+)
+def triple_audit(spark, d):
+    """Judgements compared as triples of names and scores: with a changed copy, and with an equal one."""
+    a = cells(spark, d, "data_lbl").select(F.concat(F.lit("q"), F.col("row_idx").cast("string")).alias("qid"), F.concat(F.lit("d"), F.col("col_idx").cast("string")).alias("did"), F.round("score", 9).alias("score"))
+    b = a.filter(~F.col("did").endswith("5")).withColumn("score", F.when(F.col("did").endswith("7"), F.col("score") + 1).otherwise(F.col("score")))
+    return lookup.audit_triples(a, b).unionByName(lookup.audit_triples(a, a.orderBy(F.desc("did"))))
+
+
+@query("SELECT true AS same_order, true AS same_set UNION ALL SELECT false, true UNION ALL SELECT false, false")
+def order_audit(spark, d):
+    """Tables of entries compared by order and as sets: with itself, with two entries swapped, and with one left out."""
+    a = info(spark, d, "data_info")
+    ends = a.agg(F.min("idx"), F.max("idx")).first()
+    swapped = a.withColumn("idx", F.when(F.col("idx") == ends[0], F.lit(ends[1])).when(F.col("idx") == ends[1], F.lit(ends[0])).otherwise(F.col("idx")))
+    return lookup.audit_order(a, a).unionByName(lookup.audit_order(a, swapped)).unionByName(lookup.audit_order(a, a.filter(F.col("idx") != ends[0])))
+
+
 @query(f"SELECT i.idx AS row_idx, count(*) AS n FROM {NEG} r JOIN {info_sql('label_raw')} l ON r.col_idx = l.idx JOIN {info_sql('data_info')} i ON r.row_idx = i.idx WHERE l.text <> '' GROUP BY i.idx")
 def valid_run_sizes(spark, d):
     r = lookup.decode(cells(spark, d, "data_neg"), info(spark, d, "label_raw")).filter("text <> ''")

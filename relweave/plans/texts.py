@@ -42,6 +42,16 @@ def strip_fences(spark, d):
     return table(spark, d, "label_raw").select("identifier", text.strip_fences(fenced).alias("text")).distinct()
 
 
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(5760) || " + " || ".join(f"chr({k})" for k in (*range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+
+
+@query(f"SELECT DISTINCT identifier, trim(text, {_WHITE}) AS text FROM label_raw")
+def strip_fences_lines(spark, d):
+    """Fences on lines of their own: the line breaks go with them."""
+    fenced = F.concat(F.lit("```json\n\t"), F.col("text"), F.lit(" \n```\n"))
+    return table(spark, d, "label_raw").select("identifier", text.strip_fences(fenced).alias("text")).distinct()
+
+
 def _meta_texts(spark, d):
     best = rel.ranked(rel.top_k(cells(spark, d, "data_meta"), 5)).join(info(spark, d, "meta_info").select(F.col("idx").alias("col_idx"), "text"), "col_idx")
     lists = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])
@@ -65,12 +75,32 @@ def category_concat(spark, d):
     return rows.select("idx", text.with_categories(F.col("text"), F.col("items")).alias("text"))
 
 
-@query()
+def _budget_sql(item: str) -> str:
+    """Texts with as many of the items, round and round, as bring them to 24 words; ``item`` picks from ``alternatives`` at ``k``."""
+    words = "len(list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> ''))"
+    return f"""WITH i AS (SELECT row_idx, list(text ORDER BY rank) AS items FROM (SELECT row_idx, text, row_number() OVER (PARTITION BY row_idx ORDER BY score DESC, col_idx) AS rank
+      FROM {META} JOIN {info_sql('meta_info')} ON col_idx = idx QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY score DESC, col_idx) <= 5) GROUP BY row_idx),
+    t AS (SELECT idx, text, items FROM {info_sql('data_info')} JOIN i ON idx = row_idx WHERE text IS NOT NULL),
+    e AS (SELECT idx, text, k, items[k % len(items) + 1] AS alternatives, {words.format(c='text')} AS n FROM t, unnest(range(0, 24)) AS r(k)),
+    p AS (SELECT idx, text, n, k, {item} AS item FROM e),
+    s AS (SELECT idx, text, k, item, n + coalesce(sum({words.format(c='item')}) OVER (PARTITION BY idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
+    SELECT idx, any_value(text) || coalesce(string_agg(' [SEP] ' || item, '' ORDER BY k) FILTER (before < 24), '') AS text FROM s GROUP BY idx"""
+
+
+@query(_budget_sql("alternatives"))
 def budget_concat(spark, d):
     rows = info(spark, d, "data_info").filter("text IS NOT NULL").join(_meta_texts(spark, d), F.col("idx") == F.col("row_idx"))
     return rows.select("idx", text.fill_to_budget(F.col("text"), F.col("items"), 24).alias("text"))
 
 
+@query(_budget_sql("[alternatives, 'or ' || alternatives][(('0x' || substr(md5(concat_ws('-', '6', idx::VARCHAR, k::VARCHAR)), 1, 8))::BIGINT % 2) + 1]"))
+def budget_concat_drawn(spark, d):
+    """As ``budget_concat``, of items with two alternatives each, of which one is drawn at every place."""
+    rows = info(spark, d, "data_info").filter("text IS NOT NULL").join(_meta_texts(spark, d), F.col("idx") == F.col("row_idx"))
+    both = F.transform("items", lambda x: F.concat(x, F.lit(" [SEP] or "), x))
+    return rows.select("idx", text.fill_to_budget(F.col("text"), text.choose_alternatives(both, 6, F.col("idx"), 24), 24).alias("text"))
+
+
 @query(f"SELECT idx, 'query: ' || trim(concat_ws(' ', identifier, text), ' ') AS text, 'doc-' || lpad(idx::VARCHAR, 9, '0') AS name FROM {info_sql('test_raw')}")
 def prompts(spark, d):
     rows = info(spark, d, "test_raw")
@@ -179,6 +209,45 @@ def entity_projection(spark, d):
     return parsed.select("name", F.array_join(parse.entities(F.col("triples")), "|").alias("entities"))
 
 
+_FORM = "c_custkey % 6"
+
+
+def _broken_responses(spark, d):
+    """Responses as generators break them: cut short, numbers and lists as parts, an apostrophe in Python notation, no notation at
+    all, triples of another arity."""
+    name, nation = F.lower(F.translate("c_name", "#", " ")), F.lower("n_name")
+    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    form = F.expr(_FORM)
+    response = (
+        F.when(form == 0, F.concat(F.lit('```json\n[["'), name, F.lit('", "lives in", "'), nation, F.lit('"], ["'), nation, F.lit('", "is in", "som')))
+        .when(form == 1, F.concat(F.lit("{'triples': [['"), name, F.lit("', 7, '"), nation, F.lit("']]}")))
+        .when(form == 2, F.concat(F.lit('[["'), name, F.lit('", ["lives", "in"], "'), nation, F.lit('"], ["a", "b"], ["a", "", "b"]]')))
+        .when(form == 3, F.concat(F.lit('[["'), name, F.lit("\", \"it's\", '"), nation, F.lit("']]")))
+        .when(form == 4, F.lit("There are no facts in this passage."))
+        .otherwise(F.concat(F.lit('\n```\n{"triples": [["'), name, F.lit('", "lives in", "'), nation, F.lit('"]]}\n```\n')))
+    )
+    return rows.select("c_custkey", response.alias("response"))
+
+
+@query(
+    f"""SELECT c_custkey, s || '|' || p || '|' || o AS triple FROM (SELECT c_custkey, {_CLEAN.format(c='c_name')} AS s, {_CLEAN.format(c='n_name')} AS o,
+    CASE {_FORM} WHEN 0 THEN 'lives in' WHEN 1 THEN '7' WHEN 2 THEN 'lives in' WHEN 3 THEN 'it s' WHEN 5 THEN 'lives in' END AS p FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE p IS NOT NULL"""
+)
+def triple_repair(spark, d):
+    """What can be read of broken responses; nested parts are joined."""
+    parsed = parse.parse_triples(_broken_responses(spark, d), "response", join_nested=True)
+    return parsed.select("c_custkey", F.explode("triples").alias("t")).select("c_custkey", F.concat_ws("|", "t.s", "t.p", "t.o").alias("triple"))
+
+
+@query(
+    f"""SELECT c_custkey, CASE {_FORM} WHEN 4 THEN 0 ELSE 1 END AS n, CASE {_FORM} WHEN 2 THEN 'lives    in' WHEN 4 THEN '' WHEN 1 THEN '7' WHEN 3 THEN 'it s' ELSE 'lives in' END AS p FROM customer"""
+)
+def triple_nested(spark, d):
+    """Nested parts are printed as Python prints them, and then cleaned."""
+    parsed = parse.parse_triples(_broken_responses(spark, d), "response")
+    return parsed.select("c_custkey", F.size("triples").cast("int").alias("n"), F.coalesce(F.get("triples", F.lit(0))["p"], F.lit("")).alias("p"))
+
+
 # --- vectors
 
 
