@@ -13,6 +13,9 @@ from relweave.session import cut
 
 #: Rounds between two cuts of the lineage.
 CUT_EVERY = 5
+ROUNDS_A_PLAN = 2
+#: Queries of PageRank that stand side by side in columns, at most.
+SIDE_BY_SIDE = 16
 
 
 # --- construction
@@ -103,35 +106,47 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
     sum of 1 per query. What reaches a node without edges goes back to the seeds, so that scores always sum to 1.
     ``tolerance`` ends the rounds when the change of every query falls below it, checked at each cut.
     """
+    from relweave.operators.indexing import dense_index
+
+    edges = cut(edges.select("src", "dst", "weight"))
     out_weight = edges.groupBy("src").agg(F.sum("weight").alias("total")).filter("total > 0")
     transition = cut(edges.join(out_weight, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
     # kept by source, so that no round shuffles the edges again; what an executor loses is read from the table again
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     transition = transition.repartition(parts, "src").sortWithinPartitions("src").persist()
-    r = cut(seeds.select("query", "node", F.col("weight").cast("double").alias("r")))
+    # queries stand side by side in columns, so that an edge is read once for as many
+    places = cut(dense_index(seeds.select("query").distinct(), ["query"], "place").select("query", "place"))
+    width = max(1, min(SIDE_BY_SIDE, places.count()))
+    xs = [f"x{k}" for k in range(width)]
+    named = places.withColumn("group", F.floor(F.col("place") / width)).withColumn("slot", F.pmod("place", F.lit(width)).cast("int"))
+    put = [F.coalesce(F.sum(F.when(F.col("slot") == k, F.col("weight").cast("double"))), F.lit(0.0)).alias(c) for k, c in enumerate(xs)]
+    r = cut(seeds.join(named, "query").groupBy("group", "node").agg(*put))
     reached = transition.select(F.col("dst").alias("node")).unionByName(r.select("node")).distinct()
     ends = cut(reached.join(transition.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
     # without dead ends a round uses the one before once, and several rounds make one plan
     dead_ends = ends.limit(1).count() > 0
-    every = 1 if dead_ends else CUT_EVERY
-    restart = r.select("query", "node", ((1 - damping) * F.col("r")).alias("y"))
-    x = r.select("query", "node", F.col("r").alias("x"))
-    before = x
+    every = 1 if dead_ends else ROUNDS_A_PLAN
+    restart = r.select("group", "node", *((F.col(c) * (1 - damping)).alias(c) for c in xs))
+    x = before = r
     for k in range(1, rounds + 1):
-        parts = x.join(transition, F.col("node") == F.col("src")).select("query", F.col("dst").alias("node"), (damping * F.col("x") * F.col("p")).alias("y")).unionByName(restart)
+        moved = x.join(transition, F.col("node") == F.col("src")).select("group", F.col("dst").alias("node"), *((damping * F.col(c) * F.col("p")).alias(c) for c in xs)).unionByName(restart)
         if dead_ends:
-            lost = x.join(ends, "node", "left_semi").groupBy("query").agg(F.sum("x").alias("lost"))
-            parts = parts.unionByName(r.join(lost, "query").select("query", "node", (damping * F.col("r") * F.col("lost")).alias("y")))
-        x = parts.groupBy("query", "node").agg(F.sum("y").alias("x"))
+            lost = x.join(ends, "node", "left_semi").groupBy("group").agg(*(F.sum(c).alias(f"lost_{c}") for c in xs))
+            moved = moved.unionByName(r.join(lost, "group").select("group", "node", *((damping * F.col(c) * F.col(f"lost_{c}")).alias(c) for c in xs)))
+        x = moved.groupBy("group", "node").agg(*(F.sum(c).alias(c) for c in xs))
         if k % every == 0 or k == rounds:
             x = cut(x)
-            if tolerance is not None and (k % CUT_EVERY == 0 or k == rounds):
-                change = x.join(before.withColumnRenamed("x", "b"), ["query", "node"], "full").groupBy("query").agg(F.sum(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))).alias("c"))
+            if tolerance is not None and (k % (2 * ROUNDS_A_PLAN) == 0 or k == rounds):
+                gap = lambda c: F.sum(F.abs(F.coalesce(F.col(f"a.{c}"), F.lit(0.0)) - F.coalesce(F.col(f"b.{c}"), F.lit(0.0))))
+                both = x.alias("a").join(before.alias("b"), (F.col("a.group") == F.col("b.group")) & (F.col("a.node") == F.col("b.node")), "full")
+                change = both.groupBy(F.coalesce("a.group", "b.group").alias("group")).agg(F.greatest(*map(gap, xs), F.lit(0.0)).alias("c"))
                 if (change.agg(F.max("c")).first()[0] or 0.0) < tolerance:
                     break
                 before = x
     transition.unpersist()  # the last round is a table of its own
-    return x.select("query", "node", F.col("x").alias("score"))
+    entries = F.explode(F.array(*(F.struct(F.lit(k).alias("slot"), F.col(c).alias("score")) for k, c in enumerate(xs))))
+    scores = x.select("group", "node", entries.alias("e")).select("group", "node", "e.slot", "e.score").filter("score > 0")
+    return scores.join(named.select("query", "group", "slot"), ["group", "slot"]).select("query", "node", "score")
 
 
 def rank_nodes(scores: DataFrame, nodes: DataFrame, k: int = 200) -> DataFrame:
