@@ -76,7 +76,8 @@ def audit_order(made: DataFrame, wanted: DataFrame) -> DataFrame:
     have the same ones."""
     a, b = (t.select("idx", "identifier").distinct() for t in (made, wanted))
     order = a.withColumnRenamed("identifier", "x").join(b.withColumnRenamed("identifier", "y"), "idx", "full")
-    both = a.select("identifier", F.lit(1).alias("x")).distinct().join(b.select("identifier", F.lit(1).alias("y")).distinct(), "identifier", "full")
+    named = lambda t, c: t.filter("identifier IS NOT NULL").select("identifier", F.lit(1).alias(c)).distinct()
+    both = named(a, "x").join(named(b, "y"), "identifier", "full")
     one = order.agg((F.count_if(~F.col("x").eqNullSafe(F.col("y"))) == 0).alias("same_order"))
     return one.crossJoin(both.agg((F.count_if(F.col("x").isNull() | F.col("y").isNull()) == 0).alias("same_set")))  # one row each
 

@@ -32,6 +32,19 @@ def test_fill_to_budget(spark):
     assert one(spark, text.fill_to_budget(F.lit("q"), F.array().cast("array<string>"), 6)) == "q"
 
 
+def test_alternatives_are_drawn(spark):
+    items = F.array(F.lit("a [SEP] b"), F.lit("c"))
+    drawn = [one(spark, text.choose_alternatives(items, 6, F.lit(row), 3)) for row in range(12)]
+    assert all(len(x) == 6 and x[1::2] == ["c"] * 3 and set(x[::2]) <= {"a", "b"} for x in drawn)
+    assert {y for x in drawn for y in x} == {"a", "b", "c"} and len({tuple(x) for x in drawn}) > 1
+    assert one(spark, text.choose_alternatives(F.array().cast("array<string>"), 6, F.lit(1), 3)) == []
+
+
+def test_fences_with_line_breaks(spark):
+    assert one(spark, text.strip_fences(F.lit('```json\n{"a": 1}\n``` \n'))) == '{"a": 1}'
+    assert one(spark, text.strip_fences(F.lit("\u00a0\t a b \r\n"))) == "a b" and one(spark, text.strip_fences(F.lit(None).cast("string"))) is None
+
+
 def test_vectors(spark):
     a, b = F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(4.0), F.lit(3.0))
     assert abs(one(spark, vectors.cosine(a, b)) - 0.96) < 1e-12

@@ -147,3 +147,53 @@ def test_node_rank_walks_sum_to_one(spark):
         assert sum(r.score for r in out if r.row_idx == row) == pytest.approx(1)
     assert {r.col_idx for r in out if r.row_idx == 0} == {1, 2}
     assert next(r.score for r in out if (r.row_idx, r.col_idx) == (1, 3)) == pytest.approx(0.75)
+
+
+def test_seed_nodes(spark):
+    reset = spark.createDataFrame([(0, 5), (1, 6), (1, 7)], "row_idx bigint, col_idx bigint")
+    columns = spark.range(50).withColumnRenamed("id", "node")
+    out = {(r.row_idx, r.col_idx) for r in graph.seed_nodes(reset, columns, 8, 3).collect()}
+    assert {(0, 5), (1, 6), (1, 7)} <= out
+    for row, own in ((0, {5}), (1, {6, 7})):
+        assert 8 <= len({c for r, c in out if r == row} | own) <= 8 + len(own)
+    assert graph.seed_nodes(reset, columns, 0).count() == 3
+    assert len({c for r, c in ((r.row_idx, r.col_idx) for r in graph.seed_nodes(reset, columns, 500, 3).collect()) if r == 0}) == 50
+
+
+def test_node_rank_of_one_kind(spark):
+    """On a graph of two kinds of nodes only the visits to the kept kind count."""
+    edges = [(0, 10, 1.0), (1, 10, 1.0), (1, 11, 1.0)]
+    forward = spark.createDataFrame(edges + [(b, a, w) for a, b, w in edges], "row_idx bigint, col_idx bigint, score double")
+    reset = spark.createDataFrame([(7, 0, 1.0)], "row_idx bigint, col_idx bigint, score double")
+    kept = spark.createDataFrame([(10,), (11,)], "node bigint")
+    rows = graph.node_rank_walks(reset, forward, length=60, seed=2, num_seed_nodes=1, kept=kept).collect()
+    assert {r.col_idx for r in rows} <= {10, 11} and abs(sum(r.score for r in rows) - 1) < 1e-9
+
+
+def test_conflation_bounds_and_missing_phrases(spark):
+    similar = spark.createDataFrame([(1, 2, 0.95), (1, 3, 0.9), (4, 5, 1.0), (6, 7, 0.5)], "row_idx bigint, col_idx bigint, score double")
+    r = spark.createDataFrame([(0, c, 1.0) for c in range(1, 8)], "row_idx bigint, col_idx bigint, score double")
+    columns = r.select(r.col_idx.alias("node"))
+    names = lambda **k: {x.col_idx: x.score for x in graph.conflate_similar(similar, r, columns, 2, 0.6, **k).collect()}
+    assert names() == {1: 3.0, 4: 2.0, 6: 1.0, 7: 1.0}
+    assert names(most=0.99) == {1: 3.0, 4: 1.0, 5: 1.0, 6: 1.0, 7: 1.0}
+    assert names(largest_difference=0.01) == {1: 2.0, 3: 1.0, 4: 2.0, 6: 1.0, 7: 1.0}
+    info = spark.createDataFrame([(1, "a", "Red car"), (2, "b", "red car "), (3, "c", None), (4, "d", None), (5, "e", ""), (6, "f", "?!"), (7, "g", "x")], "idx bigint, identifier string, text string")
+    assert {x.col_idx for x in graph.conflate_phrases(info, r).collect()} == {1, 3, 4, 5, 6, 7}
+
+
+def test_pagerank_of_many_queries(spark, monkeypatch):
+    """More queries than stand side by side, with different seeds."""
+    monkeypatch.setattr(graph, "SIDE_BY_SIDE", 2)
+    e = graph.undirected(spark.createDataFrame([(k, (k + 1) % 6, 1.0 + k) for k in range(6)], "src bigint, dst bigint, weight double"))
+    seeds = spark.createDataFrame([(q, q, 1.0) for q in range(5)], "query bigint, node bigint, weight double")
+    together = {(r.query, r.node): r.score for r in graph.personalised_pagerank(e, seeds, 0.5, 12).collect()}
+    for q in range(5):
+        alone = {(r.query, r.node): r.score for r in graph.personalised_pagerank(e, seeds.filter(f"query = {q}"), 0.5, 12).collect()}
+        assert {k: round(v, 12) for k, v in together.items() if k[0] == q} == {k: round(v, 12) for k, v in alone.items()}
+
+
+def test_choices_of_bounded_length(spark):
+    r = spark.createDataFrame([(0, c, 1.0) for c in range(9)], "row_idx bigint, col_idx bigint, score double")
+    paths = [tuple(x.path) for x in graph.multi_hop(r, hops=2).collect()]
+    assert len(paths) == len(set(paths)) == 1 + 9 + 72

@@ -123,3 +123,41 @@ def test_audit(spark):
     a = spark.createDataFrame([(0, "a", "t"), (1, "b", "t"), (2, "c", None)], "idx bigint, identifier string, text string")
     b = spark.createDataFrame([(0, "a", "u"), (5, "b", "t"), (2, "d", None)], "idx bigint, identifier string, text string")
     assert tuple(lookup.audit_tables(a, b).first()) == (1, 1, 2, 1, 1)
+
+
+@pytest.mark.parametrize("limits", [(500_000, 2_000_000, 2_000_000), (40, 60, 50), (3, 4, 7)])
+def test_product_top_k_equals_product(spark, monkeypatch, limits):
+    """In blocks of any size, with a heavy inner index, a heavy row and a heavy column, ties and scores of 0 and below."""
+    for name, value in zip(("LEFT_CELLS", "RIGHT_CELLS", "SUMS"), limits):
+        monkeypatch.setattr(rel, name, value)
+    rng = np.random.default_rng(1)
+    pick = lambda n, m, k: {(int(i), int(j)) for i, j in zip(rng.integers(0, n, k), rng.integers(0, m, k))}
+    a = [(i, j, float(rng.integers(-1, 3))) for i, j in pick(30, 12, 120) | {(i, 0) for i in range(30)} | {(7, j) for j in range(12)}]
+    b = [(i, j, float(rng.integers(-1, 3))) for i, j in pick(12, 25, 90) | {(0, j) for j in range(25)} | {(i, 4) for i in range(12)}]
+    want = got(rel.top_k(rel.multiply(cells(spark, a), cells(spark, b)), 4))
+    assert got(rel.multiply_top_k(cells(spark, a), cells(spark, b), 4)) == want
+    assert got(rel.multiply_top_k(cells(spark, a).limit(0), cells(spark, b), 4)) == got(rel.multiply_top_k(cells(spark, a), cells(spark, b).limit(0), 4)) == []
+
+
+def test_running_sum_and_oversampling(spark):
+    df = spark.createDataFrame([(k, k % 7) for k in range(500)], "k bigint, v int").repartition(9)
+    rows = indexing.running_sum(df, ["k"], "v", "before").orderBy("k").collect()
+    assert [r.before for r in rows] == [sum(j % 7 for j in range(k)) for k in range(500)]
+    r = spark.createDataFrame([(0, c) for c in range(3)] + [(1, 5)], "g bigint, c bigint")
+    out = indexing.sample_per_group(r, "g", "c", 7, 1, oversample=True).collect()
+    assert sorted(x.g for x in out) == [0] * 7 + [1] * 7
+    counts = sorted(sum(x.c == c for x in out if x.g == 0) for c in range(3))
+    assert counts == [2, 2, 3]
+    assert indexing.sample_per_group(r, "g", "c", 2, 1, oversample=True).filter("g = 0").distinct().count() == 2
+
+
+def test_audits_of_order_and_triples(spark):
+    info = lambda rows: spark.createDataFrame(rows, "idx bigint, identifier string")
+    a = info([(0, "x"), (1, "y"), (2, None)])
+    assert tuple(lookup.audit_order(a, a).first()) == (True, True)
+    assert tuple(lookup.audit_order(a, info([(0, "y"), (1, "x"), (2, None)])).first()) == (False, True)
+    assert tuple(lookup.audit_order(a, info([(0, "x")])).first()) == (False, False)
+    t = lambda rows: spark.createDataFrame(rows, "qid string, did string, score double")
+    one = lookup.audit_triples(t([("q", "d", 1.0), ("q", "d", 1.0), ("q", "e", 2.0)]), t([("q", "d", 1.0), ("q", "e", 3.0)])).first()
+    assert one.asDict() == {"n_made": 2, "n_wanted": 2, "only_made": 1, "only_wanted": 1, "identical": False, "pairs_identical": True}
+    assert lookup.audit_triples(t([]), t([])).first().identical

@@ -101,3 +101,20 @@ def test_examples(spark):
     table = lambda names: spark.createDataFrame([(k, "i", n) for k, n in enumerate(names)], "idx bigint, identifier string, text string")
     out = ret.examples(r, table(["q", "p"]), table(["a", "b", "c"]), r.filter("row_idx = 0"), 2).collect()
     assert [json.loads(x.example) for x in out] == [{"query": "q", "labels": [{"label": "b", "score": "0.7500"}, {"label": "a", "score": "0.5000"}]}]
+
+
+def test_example_sets(spark):
+    import json
+
+    from relweave.operators import metrics
+
+    run = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.8), (1, 2, 0.9), (1, 1, 0.5), (3, 1, 1.0)], "row_idx bigint, col_idx bigint, score double")
+    truth = spark.createDataFrame([(0, 1, 1.0), (1, 1, 1.0), (2, 1, 1.0)], "row_idx bigint, col_idx bigint, score double")
+    point = metrics.pointwise_precision(run, truth, 1)
+    assert sorted(map(tuple, point.collect())) == [(0, 1, 1.0), (1, 2, 0.0)]
+    scores = point.groupBy("row_idx").sum("value").withColumnRenamed("sum(value)", "value")
+    assert [r.row_idx for r in ret.choose_rows(scores, "good", 1).collect()] == [0] and [r.row_idx for r in ret.choose_rows(scores, "bad", 1).collect()] == [1]
+    assert ret.choose_rows(scores, "random", 5).count() == 2
+    info = spark.createDataFrame([(k, f"i{k}", f"text {k}") for k in range(4)], "idx bigint, identifier string, text string")
+    out = ret.example_sets(scores, info, {"labels": (truth, info, 3), "run": (run, info, 1), "none": (run.limit(0), info, 3)}).orderBy("row_idx").collect()
+    assert json.loads(out[0].example) == {"query": "text 0", "labels": [{"text": "text 1", "score": "1.0000"}], "run": [{"text": "text 1", "score": "0.9000"}], "none": [], "score": "1.0000"}
