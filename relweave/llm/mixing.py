@@ -28,6 +28,8 @@ from relweave.session import cut, spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bins of the histogram of uniform numbers, per source.
 BINS = 4096
+#: Sources or thresholds up to which these are broadcast; of more they are joined by a shuffle.
+SMALL = 100_000
 #: The part of the largest possible total that is taken where none is wanted.
 FILL = 0.95
 #: Texts longer than this are encoded in pieces cut at white space.
@@ -144,7 +146,8 @@ def uniform(doc_id: Column, seed: int) -> Column:
 def _uses(rows: DataFrame, plans: list[Plan]) -> DataFrame:
     """``rows`` (source, u, ...) with ``uses``, how often each is used; rows used never are dropped."""
     lists = [(p.source, thresholds(p.mean, p.max_repeats)) for p in plans if p.goal > 0]
-    frame = rows.sparkSession.createDataFrame(lists, "source string, thresholds array<double>")  # joined as its size allows
+    frame = rows.sparkSession.createDataFrame(lists, "source string, thresholds array<double>")
+    frame = F.broadcast(frame) if sum(len(t) for _, t in lists) <= SMALL else frame
     counted = rows.join(frame, "source").withColumn("uses", F.size(F.filter("thresholds", lambda t: F.col("u") > t)))
     return counted.filter("uses > 0").drop("thresholds")
 
@@ -163,7 +166,9 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 20, tokenizer: str
     rows = [tuple(r) for r in wanted.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.target_share", "t.max_repeats").orderBy("source").collect()]
     frame = spark.createDataFrame(rows or [], "source string, target_share double, max_repeats int")
     known = documents.filter(F.col("source").isNotNull()).withColumn("source", source_name(F.col("source")))
-    sized = cut(token_counts(known.join(frame.select("source"), "source", "left_semi"), tokenizer).withColumn("u", uniform(F.col("doc_id"), seed)))
+    names = frame.select("source")
+    names = F.broadcast(names) if len(rows) <= SMALL else names
+    sized = cut(token_counts(known.join(names, "source", "left_semi"), tokenizer).withColumn("u", uniform(F.col("doc_id"), seed)))
     used = sized.filter(F.col("n_tokens") > 0)
     histograms: dict[str, np.ndarray] = {}
     for s, k, n in used.groupBy("source", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("n")).collect():  # at most BINS rows a source
