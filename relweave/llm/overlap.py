@@ -41,14 +41,14 @@ def word_set(text: Column) -> Column:
 
 
 def text_classes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """The different rows of ``keys``, the sorted word set ``words`` and its hash ``class_id``; rows without a word are left out."""
+    """``keys``, the sorted word set ``words`` and two hashes of it, ``class_id`` and ``check``; rows without a word are left out."""
     out = df.select(*keys, F.sort_array(word_set(F.col(text))).alias("words")).filter(F.size("words") > 0)
-    return out.withColumn("class_id", F.xxhash64("words")).distinct()
+    return out.withColumns({"class_id": F.xxhash64("words"), "check": F.xxhash64(F.lit(7), F.col("words"))})
 
 
 def classes_of(members: DataFrame) -> DataFrame:
-    """One row (class_id, words) per class: the hash deals the rows, the words decide."""
-    return members.select("class_id", "words").distinct()
+    """One row (class_id, check, words) per class."""
+    return members.select("class_id", "check", "words").distinct()
 
 
 def cosine_for_jaccard(t: float, spread: float = 1.0) -> float:
@@ -71,7 +71,7 @@ def squared_weights(weights: str, df: np.ndarray, total: int) -> np.ndarray:
 
 
 def _vectors(threshold: float, weights: str, total: int, shipped):
-    """Rows (side, class_id, words, keys[, counts]) to vectors: words rarest first, their weights, the residuals of the
+    """Rows (side, class_id, check, words, keys[, counts]) to vectors: words rarest first, their weights, the residuals of the
     indexed ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,30 +100,31 @@ def _vectors(threshold: float, weights: str, total: int, shipped):
             entries = pa.StructArray.from_arrays([pa.array(keys[indexed]), pa.array(w[indexed]), pa.array(rest[indexed]), pa.array(df[indexed])], ["key", "w", "rest", "df"])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("side"), batch.column("class_id"), pa.array(sizes.astype("i4")), pa.array(signature), pa.array(norm),
+                    batch.column("side"), batch.column("class_id"), batch.column("check"), pa.array(sizes.astype("i4")), pa.array(signature), pa.array(norm),
                     pa.ListArray.from_arrays(at, lists.flatten().take(pa.array(order))), pa.ListArray.from_arrays(at, pa.array(w)), pa.ListArray.from_arrays(first, entries),
                 ],
-                ["side", "class_id", "n", "signature", "norm", "words", "weights", "entries"],
+                ["side", "class_id", "check", "n", "signature", "norm", "words", "weights", "entries"],
             )
 
     return run
 
 
 def weighted_cosine_join(left: DataFrame, right: DataFrame, threshold: float, weights: str = "uniform") -> DataFrame:
-    """All pairs of classes with a cosine of at least ``threshold``: (left_class, left_words, right_class, right_words, cosine,
+    """All pairs of classes with a cosine of at least ``threshold``: (left_class, left_check, right_class, right_check, cosine,
     shared, left_size, right_size).
 
-    Both sides hold ``class_id`` and ``words``, one row per class. With N classes on both sides, the squared weight of a
+    Both sides hold ``class_id``, ``check`` and ``words``, one row per class. With N classes on both sides, the squared weight of a
     word in n of them is 1 (``uniform``), ln(1 + N / n) squared (``idf``) or 1 + (``SPREAD`` - 1) ln(1 + N / n) / ln(1 + N)
-    (``damped``). An empty side gives an empty result. ``class_id`` is a hash; classes that share one stay apart, as their
-    words are compared.
+    (``damped``). An empty side gives an empty result. Classes that share a ``class_id`` stay
+    apart, as their words are compared.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     if weights not in ("uniform", "idf", "damped"):
         raise ValueError(f"unknown weights {weights!r}")
     spark = left.sparkSession
-    both = left.select(F.lit(0).alias("side"), "class_id", "words").unionByName(right.select(F.lit(1).alias("side"), "class_id", "words"))
+    kept = ["class_id", "check", "words"]
+    both = left.select(F.lit(0).alias("side"), *kept).unionByName(right.select(F.lit(1).alias("side"), *kept))
     both = cut(both.withColumn("keys", F.transform("words", lambda w: F.xxhash64(w))).withColumn("row", F.monotonically_increasing_id()))
     total = both.count()
     counts = cut(both.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df")))
@@ -133,10 +134,10 @@ def weighted_cosine_join(left: DataFrame, right: DataFrame, threshold: float, we
         rows = spread(both.drop("row"))
     else:
         shipped = None
-        words = both.select("row", "side", "class_id", F.explode(F.arrays_zip("words", "keys")).alias("e")).select("row", "side", "class_id", "e.words", F.col("e.keys").alias("key")).join(counts, "key")
-        lists = words.groupBy("row", "side", "class_id").agg(F.sort_array(F.collect_list(F.struct("words", "key", "df"))).alias("e"))  # as long as the text
-        rows = lists.select("side", "class_id", F.col("e.words").alias("words"), F.col("e.key").alias("keys"), F.col("e.df").alias("counts"))
-    schema = "side int, class_id bigint, n int, signature bigint, norm bigint, words array<string>, weights array<bigint>, entries array<struct<key:bigint,w:bigint,rest:bigint,df:bigint>>"
+        words = both.select("row", "side", "class_id", "check", F.explode(F.arrays_zip("words", "keys")).alias("e")).select("row", "side", "class_id", "check", "e.words", F.col("e.keys").alias("key")).join(counts, "key")
+        lists = words.groupBy("row", "side", "class_id", "check").agg(F.sort_array(F.collect_list(F.struct("words", "key", "df"))).alias("e"))  # as long as the text
+        rows = lists.select("side", "class_id", "check", F.col("e.words").alias("words"), F.col("e.key").alias("keys"), F.col("e.df").alias("counts"))
+    schema = "side int, class_id bigint, check bigint, n int, signature bigint, norm bigint, words array<string>, weights array<bigint>, entries array<struct<key:bigint,w:bigint,rest:bigint,df:bigint>>"
     vectors = cut(rows.mapInArrow(_vectors(threshold, weights, total, shipped), schema))
     listed = vectors.select("side", "class_id", "n", "signature", "norm", F.posexplode("entries").alias("at", "e"))
     listed = listed.select(
@@ -158,12 +159,12 @@ def weighted_cosine_join(left: DataFrame, right: DataFrame, threshold: float, we
     named = F.zip_with("words", "weights", lambda w, x: F.concat_ws("\t", w, x.cast("string")))
 
     def side(k: int, name: str, short: str) -> DataFrame:
-        return vectors.filter(F.col("side") == k).select(F.col("class_id").alias(f"{name}_class"), F.col("words").alias(f"{name}_words"), F.col("n").alias(f"{name}_size"), F.col("norm").alias(f"{short}_norm"), named.alias(short))
+        return vectors.filter(F.col("side") == k).select(F.col("class_id").alias(f"{name}_class"), F.col("check").alias(f"{name}_check"), F.col("n").alias(f"{name}_size"), F.col("norm").alias(f"{short}_norm"), named.alias(short))
 
     out = pairs.join(side(0, "left", "x"), "left_class").join(side(1, "right", "y"), "right_class").withColumn("common", F.array_intersect("x", "y"))
     dot = F.aggregate("common", F.lit(0).cast("bigint"), lambda s, k: s + F.substring_index(k, "\t", -1).cast("bigint"))
     cosine = dot / (F.sqrt(F.col("x_norm").cast("double")) * F.sqrt(F.col("y_norm").cast("double")))
-    out = out.select("left_class", "left_words", "right_class", "right_words", cosine.alias("cosine"), F.size("common").alias("shared"), "left_size", "right_size")
+    out = out.select("left_class", "left_check", "right_class", "right_check", cosine.alias("cosine"), F.size("common").alias("shared"), "left_size", "right_size")
     return out.filter(F.col("cosine") >= threshold - EPS)
 
 
@@ -175,12 +176,21 @@ def overlapping_classes(left: DataFrame, right: DataFrame, jaccard: float) -> Da
     per_myriad = math.ceil(round(jaccard * 10_000, 6))
     union = F.col("left_size") + F.col("right_size") - F.col("shared")
     pairs = weighted_cosine_join(left, right, cosine_for_jaccard(jaccard, SPREAD), "damped")
-    pairs = pairs.filter(F.col("shared").cast("bigint") * 10_000 >= union.cast("bigint") * per_myriad)
-    return pairs.withColumns({"left_words": F.sort_array("left_words"), "right_words": F.sort_array("right_words")})
+    return pairs.filter(F.col("shared").cast("bigint") * 10_000 >= union.cast("bigint") * per_myriad)
 
 
-def _both(train: DataFrame, held_out: DataFrame, key: str, text: str, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    return cut(text_classes(train, [key], text)), cut(text_classes(held_out, [key, *by], text))
+def _both(train: DataFrame, held_out: DataFrame, key: str, text: str, by: tuple[str, ...] = ()) -> list[DataFrame]:
+    """The tokenised records of either side, and their classes."""
+    sides = cut(text_classes(train, [key], text)), cut(text_classes(held_out, [key, *by], text))
+    return [*sides, *map(classes_of, sides)]
+
+
+_LEFT, _RIGHT = ["left_class", "left_check"], ["right_class", "right_check"]
+
+
+def _named(members: DataFrame, side: str, *columns: str) -> DataFrame:
+    """The different members with their class named as in pairs."""
+    return members.select(F.col("class_id").alias(f"{side}_class"), F.col("check").alias(f"{side}_check"), *columns).distinct()
 
 
 def cross_split_pairs(train: DataFrame, held_out: DataFrame, jaccard: float = 0.65, key: str = "identifier", text: str = "text") -> DataFrame:
@@ -188,39 +198,30 @@ def cross_split_pairs(train: DataFrame, held_out: DataFrame, jaccard: float = 0.
 
     Null texts and texts without a word never count; a row delivered twice counts once.
     """
-    a, b = _both(train, held_out, key, text)
-    pairs = overlapping_classes(classes_of(a), classes_of(b), jaccard).select("left_class", "left_words", "right_class", "right_words")
-    a = a.select(F.col(key).alias("train_id"), F.col("class_id").alias("left_class"), F.col("words").alias("left_words"))
-    b = b.select(F.col(key).alias("test_id"), F.col("class_id").alias("right_class"), F.col("words").alias("right_words"))
-    return pairs.join(b, ["right_class", "right_words"]).join(a, ["left_class", "left_words"]).select("train_id", "test_id").distinct()
+    a, b, left, right = _both(train, held_out, key, text)
+    pairs = overlapping_classes(left, right, jaccard).select(*_LEFT, *_RIGHT)
+    pairs = pairs.join(_named(b, "right", key).withColumnRenamed(key, "test_id"), _RIGHT).join(_named(a, "left", key).withColumnRenamed(key, "train_id"), _LEFT)
+    return pairs.select("train_id", "test_id").distinct()
 
 
 def cross_split_classes(train: DataFrame, held_out: DataFrame, jaccard: float = 0.65, key: str = "identifier", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The overlaps without expanding copies: the links (train_first, test_first, n_train, n_test) between classes of records
     with the same words, each named by its smallest key, and the membership (side, key, first) of all records."""
-    a, b = _both(train, held_out, key, text)
-
-    def named(members: DataFrame, side: str) -> DataFrame:
-        return members.groupBy("class_id", "words").agg(F.min(key).alias("first"), F.count("*").alias("n")).select(F.col("class_id").alias(f"{side}_class"), F.col("words").alias(f"{side}_words"), "first", "n")
-
-    left, right = cut(named(a, "left")), cut(named(b, "right"))
-    pairs = overlapping_classes(classes_of(a), classes_of(b), jaccard)
-    links = pairs.join(left.withColumnsRenamed({"first": "train_first", "n": "n_train"}), ["left_class", "left_words"])
-    links = links.join(right.withColumnsRenamed({"first": "test_first", "n": "n_test"}), ["right_class", "right_words"]).select("train_first", "test_first", "n_train", "n_test")
-    members = [
-        m.join(c.select(F.col(f"{s}_class").alias("class_id"), F.col(f"{s}_words").alias("words"), "first"), ["class_id", "words"]).select(F.lit(name).alias("side"), key, "first").distinct()
-        for name, s, m, c in (("train", "left", a, left), ("test", "right", b, right))
-    ]
-    return links, members[0].unionByName(members[1])
+    a, b, left, right = _both(train, held_out, key, text)
+    members = {"left": _named(a, "left", key), "right": _named(b, "right", key)}
+    first = {s: cut(m.groupBy(f"{s}_class", f"{s}_check").agg(F.min(key).alias("first"), F.count("*").alias("n"))) for s, m in members.items()}
+    links = overlapping_classes(left, right, jaccard).select(*_LEFT, *_RIGHT)
+    links = links.join(first["left"].withColumnsRenamed({"first": "train_first", "n": "n_train"}), _LEFT).join(first["right"].withColumnsRenamed({"first": "test_first", "n": "n_test"}), _RIGHT)
+    parts = [members[s].join(first[s], on).select(F.lit(name).alias("side"), key, "first").distinct() for name, s, on in (("train", "left", _LEFT), ("test", "right", _RIGHT))]
+    return links.select("train_first", "test_first", "n_train", "n_test"), parts[0].unionByName(parts[1])
 
 
 def cross_split_links(train: DataFrame, held_out: DataFrame, threshold: float = 0.8, weights: str = "idf", key: str = "identifier", text: str = "text") -> DataFrame:
     """One row per held-out record with a word: its ``class_id`` and ``n_links``, the training records at that cosine or above."""
-    a, b = _both(train, held_out, key, text)
-    sizes = a.groupBy(F.col("class_id").alias("left_class"), F.col("words").alias("left_words")).agg(F.count("*").alias("size"))
-    links = weighted_cosine_join(classes_of(a), classes_of(b), threshold, weights).withColumns({"left_words": F.sort_array("left_words"), "words": F.sort_array("right_words")})
-    links = links.join(sizes, ["left_class", "left_words"]).groupBy(F.col("right_class").alias("class_id"), "words").agg(F.sum("size").alias("n_links"))
-    return b.join(links, ["class_id", "words"], "left").select(key, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    a, b, left, right = _both(train, held_out, key, text)
+    sizes = _named(a, "left", key).groupBy(*_LEFT).agg(F.count("*").alias("size"))
+    links = weighted_cosine_join(left, right, threshold, weights).join(sizes, _LEFT).groupBy(*_RIGHT).agg(F.sum("size").alias("n_links"))
+    return _named(b, "right", key).join(links, _RIGHT, "left").select(key, F.col("right_class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def overlap_report(train: DataFrame, held_out: DataFrame, jaccard: float = 0.65, by: tuple[str, ...] = ("split", "dataset"), key: str = "identifier", text: str = "text") -> DataFrame:
@@ -228,16 +229,13 @@ def overlap_report(train: DataFrame, held_out: DataFrame, jaccard: float = 0.65,
 
     Counted from class sizes, without expanding a class into its records.
     """
-    a, b = _both(train, held_out, key, text, by)
-    sizes = a.groupBy(F.col("class_id").alias("left_class"), F.col("words").alias("left_words")).agg(F.count("*").alias("size"))
-    per_class = (
-        overlapping_classes(classes_of(a), classes_of(b), jaccard)
-        .join(sizes, ["left_class", "left_words"])
-        .groupBy(F.col("right_class").alias("class_id"), F.col("right_words").alias("words"))
-        .agg(F.sum("size").alias("pairs"), F.sum(F.when(F.col("left_words") == F.col("right_words"), F.col("size")).otherwise(0)).alias("equal"))
-    )
+    a, b, left, right = _both(train, held_out, key, text, by)
+    sizes = _named(a, "left", key).groupBy(*_LEFT).agg(F.count("*").alias("size"))
+    equal = (F.col("left_class") == F.col("right_class")) & (F.col("left_check") == F.col("right_check"))
+    per_class = overlapping_classes(left, right, jaccard).join(sizes, _LEFT).groupBy(*_RIGHT).agg(F.sum("size").alias("pairs"), F.sum(F.when(equal, F.col("size")).otherwise(0)).alias("equal"))
     return (
-        b.join(per_class, ["class_id", "words"], "left")
+        _named(b, "right", key, *by)
+        .join(per_class, _RIGHT, "left")
         .groupBy(*by)
         .agg(
             F.count("*").alias("n_records"),

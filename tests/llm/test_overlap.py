@@ -53,8 +53,8 @@ def test_cosine_join_loses_no_pair(spark, tables, weights, monkeypatch):
         weights = "damped"
         monkeypatch.setattr(overlap, "VOCABULARY", 0)
         monkeypatch.setattr(overlap, "LIST", 7)
-    left = overlap.text_classes(a, ["identifier"], "text").select("class_id", "words").distinct()
-    right = overlap.text_classes(b, ["identifier"], "text").select("class_id", "words").distinct()
+    left = overlap.classes_of(overlap.text_classes(a, ["identifier"], "text"))
+    right = overlap.classes_of(overlap.text_classes(b, ["identifier"], "text"))
     xs, ys = {words(t) for _, t in train} - {frozenset()}, {words(t) for _, t in test} - {frozenset()}
     df = {}
     for s in [*xs, *ys]:
