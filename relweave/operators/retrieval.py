@@ -12,30 +12,60 @@ from relweave.operators import relation as rel
 
 #: Queries and documents that meet in one task, at most.
 QUERY_BLOCK, DOC_BLOCK = 2_048, 50_000
+#: Queries are broadcast up to this size.
+QUERY_BYTES = 1 << 25
+
+
+def _vectors_of(column) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _first_k(row: np.ndarray, col: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row; ties: smaller column first."""
+    order = np.lexsort((col, -score, row))
+    row, col, score = row[order], col[order], score[order]
+    first = np.r_[True, row[1:] != row[:-1]][: len(row)]
+    rank = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0)) if len(row) else row
+    return row[rank < k], col[rank < k], score[rank < k]
+
+
+def _best_pairs(q: np.ndarray, d: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query numbers, documents and similarities of the k best documents of each query."""
+    s = np.round(q @ d.T, 12)
+    # candidates up to the k-th score, ties included, then the exact order
+    kth = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
+    row, col = np.nonzero(s >= kth[:, None])
+    return _first_k(row, doc[col], s[row, col], k)
 
 
 def _pairs_of_blocks(k: int):
     def run(key, queries, documents):
-        def matrix(t):
-            flat = t.column("v").combine_chunks()
-            flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-            return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
-
         none = np.empty(0, "i8")
         if not queries.num_rows or not documents.num_rows:
             return pa.table({"row_idx": none, "col_idx": none, "score": np.empty(0)})
-        q, d, doc = matrix(queries), matrix(documents), documents.column("idx").to_numpy()
-        order = np.argsort(doc, kind="stable")
-        s = np.round(q @ d[order].T, 12)
-        # candidates up to the k-th score, ties included, then the exact order
-        kth = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
-        row, col = np.nonzero(s >= kth[:, None])
-        best = np.lexsort((col, -s[row, col], row))
-        row, col = row[best], col[best]
-        first = np.r_[True, row[1:] != row[:-1]]
-        rank = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
-        row, col = row[rank < k], col[rank < k]
-        return pa.table({"row_idx": queries.column("idx").to_numpy()[row], "col_idx": doc[order][col], "score": s[row, col]})
+        row, col, score = _best_pairs(_vectors_of(queries.column("v")), _vectors_of(documents.column("v")), documents.column("idx").to_numpy(), k)
+        return pa.table({"row_idx": queries.column("idx").to_numpy()[row], "col_idx": col, "score": score})
+
+    return run
+
+
+def _against(shipped, k: int):
+    """Documents (idx, v) to the k best of a partition for each of the shipped queries."""
+
+    def run(batches):
+        own, q = shipped.value
+        best = np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d, doc = _vectors_of(batch.column(1)), batch.column(0).to_numpy()
+            for at in range(0, len(q), QUERY_BLOCK):
+                row, col, score = _best_pairs(q[at : at + QUERY_BLOCK], d, doc, k)
+                best = tuple(np.concatenate(x) for x in zip(best, (row + at, col, score)))
+            best = _first_k(*best, k)
+        yield pa.RecordBatch.from_arrays([pa.array(own[best[0]]), pa.array(best[1]), pa.array(best[2])], ["row_idx", "col_idx", "score"])
 
     return run
 
@@ -44,20 +74,32 @@ def exact_search(queries: DataFrame, documents: DataFrame, k: int, dim: int) ->
     """(row_idx, col_idx, score): the k most similar documents of each query by cosine; ties: smaller index first.
 
     Both sides are (idx, vector). Vectors that are null, not of ``dim`` values, all zero or not finite are left out, and of
-    several rows of one idx one counts. Both sides are dealt into blocks; each pair of blocks is one matrix product
-    that passes on k results per query, and these are merged. Scores are rounded to 12 places.
+    several rows of one idx one counts. Queries of at most ``QUERY_BYTES`` are broadcast to the documents, which stay where
+    they are. Of more, both sides are dealt into blocks, and each pair of blocks is one matrix product. Either way k results
+    per query are passed on and merged. Scores are rounded to 12 places.
     """
+    from relweave.session import cut
+
 
-    def blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    def units(df: DataFrame) -> DataFrame:
         good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0) & (F.size("vector") == dim)
         rows = df.select(F.col("idx").cast("bigint").alias("idx"), F.col("vector").cast("array<double>").alias("vector")).filter(F.col("idx").isNotNull() & F.col("vector").isNotNull() & good)
         rows = rows.groupBy("idx").agg(F.min("vector").alias("vector"))
         size_of = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-        n = max(1, -(-rows.count() // size))
-        return rows.select("idx", F.transform("vector", lambda x: x / size_of).alias("v"), F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int").alias(name)), n
-
-    q, nq = blocks(queries, QUERY_BLOCK, "qb")
-    d, nd = blocks(documents, DOC_BLOCK, "db")
+        return rows.select("idx", F.transform("vector", lambda x: x / size_of).alias("v"))
+
+    def blocks(df: DataFrame, n: int, name: str) -> DataFrame:
+        return df.withColumn(name, F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int"))
+
+    q, d = cut(units(queries)), units(documents)
+    n_queries = q.count()
+    if n_queries * dim * 8 <= QUERY_BYTES:
+        own = q.toArrow()  # at most QUERY_BYTES
+        shipped = q.sparkSession.sparkContext.broadcast((own.column("idx").to_numpy(), _vectors_of(own.column("v")) if n_queries else np.empty((0, dim))))
+        return rel.top_k(d.mapInArrow(_against(shipped, k), "row_idx bigint, col_idx bigint, score double"), k)
+    d = cut(d)
+    nq, nd = -(-n_queries // QUERY_BLOCK), max(1, -(-d.count() // DOC_BLOCK))
+    q, d = blocks(q, nq, "qb"), blocks(d, nd, "db")
     q = q.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
     d = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     n = min(10_000, nq * nd)

@@ -118,3 +118,20 @@ def test_example_sets(spark):
     info = spark.createDataFrame([(k, f"i{k}", f"text {k}") for k in range(4)], "idx bigint, identifier string, text string")
     out = ret.example_sets(scores, info, {"labels": (truth, info, 3), "run": (run, info, 1), "none": (run.limit(0), info, 3)}).orderBy("row_idx").collect()
     assert json.loads(out[0].example) == {"query": "text 0", "labels": [{"text": "text 1", "score": "1.0000"}], "run": [{"text": "text 1", "score": "0.9000"}], "none": [], "score": "1.0000"}
+
+
+@pytest.mark.parametrize("limit", [1 << 25, 0])
+def test_exact_search_either_way(spark, monkeypatch, limit):
+    """With broadcast queries and in blocks: the same results, ties by the smaller index."""
+    monkeypatch.setattr(ret, "QUERY_BYTES", limit)
+    rng = np.random.default_rng(7)
+    m = rng.integers(-1, 2, (400, 6)).astype(float)  # many equal similarities
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "idx bigint, vector array<double>").repartition(5)
+    unit = {i: v / np.linalg.norm(v) for i, v in enumerate(m) if v.any()}
+    got = {}
+    for r in ret.exact_search(df.filter("idx % 3 = 0"), df, 7, 6).collect():
+        got.setdefault(r.row_idx, []).append((-r.score, r.col_idx))
+    for i in (i for i in unit if i % 3 == 0):
+        want = sorted((-round(float(unit[i] @ v), 12), j) for j, v in unit.items())[:7]
+        assert [(round(a, 9), b) for a, b in sorted(got[i])] == [(round(a, 9), b) for a, b in want]
+    assert ret.exact_search(df.limit(0), df, 3, 6).count() == ret.exact_search(df, df.limit(0), 3, 6).count() == 0
