@@ -213,7 +213,8 @@ def random_walks(edges: DataFrame, starts: DataFrame, restart: float = 0.5, leng
     visits = None
 
     def draw(step: int, purpose: int):
-        return F.shiftrightunsigned(F.xxhash64("start", "walker", F.lit(step), F.lit(purpose), F.lit(seed)), 11).cast("double") / float(1 << 53)
+        digits = F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("start").cast("string"), F.col("walker").cast("string"), F.lit(str(step)), F.lit(str(purpose)))), 1, 12)
+        return F.conv(digits, 16, 10).cast("bigint") / float(16**12)
 
     for k in range(1, length):
         moved = state.withColumn("u", draw(k, 0)).withColumn("again", draw(k, 1) < restart)

@@ -159,7 +159,24 @@ def walk_expectation(spark, d):
     return graph.walk_expectation(edges, edges.select(F.col("src").alias("node")), 0.5, 8).select("start", "node", r6("score"))
 
 
-@query()
+def _walk_sql(starts: str, length: int) -> str:
+    """Visits of one walk from each of ``starts`` (node), drawn by the same md5."""
+    draw = lambda purpose: f"(('0x' || substr(md5(concat_ws('-', '3', start::VARCHAR, '1', (k + 1)::VARCHAR, '{purpose}')), 1, 12))::BIGINT / {16**12}::DOUBLE)"
+    return f"""WITH RECURSIVE {_EDGES}, cum AS (SELECT src, dst, weight, sum(weight) OVER (PARTITION BY src ORDER BY dst) AS c, sum(weight) OVER (PARTITION BY src) AS t FROM e),
+    part AS MATERIALIZED (SELECT src, dst, (c - weight) / t AS low, c / t AS high FROM cum), starts AS MATERIALIZED ({starts}),
+    walk(k, start, node) AS (SELECT 0, node, node FROM starts UNION ALL
+      SELECT k + 1, start, CASE WHEN again OR dst IS NULL THEN start ELSE dst END FROM (SELECT k, start, node, {draw(0)} AS u, {draw(1)} < 0.5 AS again FROM walk WHERE k < {length - 1}) w
+      LEFT JOIN part ON part.src = w.node AND u >= low AND u < high),
+    visits AS (SELECT start, node, count(*)::DOUBLE AS score FROM walk GROUP BY ALL)"""
+
+
+_RESET = "SELECT n_regionkey::BIGINT AS row_idx, 2 * s_suppkey AS col_idx, 1.0::DOUBLE / count(*) OVER (PARTITION BY n_regionkey) AS score FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+_SEEDED = f"""SELECT row_idx, col_idx FROM ({_RESET}) UNION SELECT row_idx, node FROM (SELECT row_idx, (('0x' || substr(md5(concat_ws('-', '3', row_idx::VARCHAR)), 1, 12))::BIGINT % (SELECT count(DISTINCT src) FROM e) + k) % (SELECT count(DISTINCT src) FROM e) AS place
+      FROM (SELECT DISTINCT row_idx FROM ({_RESET})), unnest(range(0, 20)) AS t(k)) JOIN (SELECT node, row_number() OVER (ORDER BY md5(concat_ws('-', '3', node::VARCHAR)), node) - 1 AS place FROM (SELECT DISTINCT src AS node FROM e)) USING (place)"""
+_MIXED = "mixed AS (SELECT row_idx, node AS col_idx, sum(v.score * s.score) AS score FROM {seeds} s JOIN visits v ON s.col_idx = v.start {where} GROUP BY ALL) SELECT row_idx, col_idx, round(score / sum(score) OVER (PARTITION BY row_idx) + 1e-10, 6) AS score FROM mixed"
+
+
+@query(_walk_sql("SELECT DISTINCT src AS node FROM e", 400) + " SELECT start, node, score FROM visits")
 def random_walk(spark, d):
     """A walk from every supplier and part."""
     edges = cut(_supply_edges(spark, d))
@@ -167,31 +184,37 @@ def random_walk(spark, d):
 
 
 @query(
-    f"""WITH {_EDGES}, reset AS (SELECT DISTINCT n_regionkey::BIGINT AS row_idx, 2 * s_suppkey AS col_idx FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-    place AS (SELECT node, row_number() OVER (ORDER BY md5(concat_ws('-', '5', node::VARCHAR)), node) - 1 AS place FROM (SELECT DISTINCT src AS node FROM e)),
-    drawn AS (SELECT row_idx, (('0x' || substr(md5(concat_ws('-', '5', row_idx::VARCHAR)), 1, 12))::BIGINT % (SELECT count(*) FROM place) + k) % (SELECT count(*) FROM place) AS place FROM (SELECT DISTINCT row_idx FROM reset), unnest(range(0, 20)) AS t(k))
-    SELECT row_idx, col_idx FROM reset UNION SELECT row_idx, node FROM drawn JOIN place USING (place)"""
+    _walk_sql(f"SELECT DISTINCT col_idx AS node FROM ({_SEEDED})", 100)
+    + f", own AS (SELECT row_idx, avg(score) AS mean FROM ({_RESET}) GROUP BY row_idx), seeded AS (SELECT x.row_idx, x.col_idx, coalesce(r.score, own.mean) AS score FROM ({_SEEDED}) x LEFT JOIN ({_RESET}) r USING (row_idx, col_idx) JOIN own ON own.row_idx = x.row_idx), "
+    + _MIXED.format(seeds="seeded", where="WHERE node % 2 = 1")
 )
-def seed_nodes(spark, d):
-    """The suppliers of each region and 20 random nodes of the supplier-part graph."""
-    reset = _region_seeds(spark, d).select(F.col("query").alias("row_idx"), F.col("node").cast("bigint").alias("col_idx"))
-    return graph.seed_nodes(reset, _supply_edges(spark, d).select(F.col("src").alias("node")), 20, 5)
-
-
-@query()
 def node_rank_parts(spark, d):
     """Walks from the regions' suppliers and 20 random nodes each, of which only the visits to parts count."""
     forward = cut(_supply_edges(spark, d).select(F.col("src").alias("row_idx"), F.col("dst").alias("col_idx"), F.col("weight").alias("score")))
     reset = _region_seeds(spark, d).select(F.col("query").alias("row_idx"), F.col("node").cast("bigint").alias("col_idx"), F.col("weight").alias("score"))
-    return graph.node_rank_walks(reset, forward, seed=3, num_seed_nodes=20, kept=forward.filter("row_idx % 2 = 1").select(F.col("row_idx").alias("node")))
+    return rounded(graph.node_rank_walks(reset, forward, seed=3, num_seed_nodes=20, kept=forward.filter("row_idx % 2 = 1").select(F.col("row_idx").alias("node"))))
 
 
-@query()
+@query(_walk_sql(f"SELECT DISTINCT col_idx AS node FROM ({_RESET})", 100) + ", " + _MIXED.format(seeds=f"({_RESET})", where=""))
 def node_rank_walk(spark, d):
     """Walks over suppliers and parts, restarting to the regions' suppliers."""
     forward = cut(_supply_edges(spark, d).select(F.col("src").alias("row_idx"), F.col("dst").alias("col_idx"), F.col("weight").alias("score")))
     reset = _region_seeds(spark, d).select(F.col("query").alias("row_idx"), F.col("node").cast("bigint").alias("col_idx"), F.col("weight").alias("score"))
-    return graph.node_rank_walks(reset, forward, seed=3)
+    return rounded(graph.node_rank_walks(reset, forward, seed=3))
+
+
+
+@query(
+    f"""WITH {_EDGES}, reset AS (SELECT DISTINCT n_regionkey::BIGINT AS row_idx, 2 * s_suppkey AS col_idx FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    place AS (SELECT node, row_number() OVER (ORDER BY md5(concat_ws('-', '5', node::VARCHAR)), node) - 1 AS place FROM (SELECT DISTINCT src AS node FROM e)),
+    drawn AS (SELECT row_idx, (('0x' || substr(md5(concat_ws('-', '5', row_idx::VARCHAR)), 1, 12))::BIGINT % (SELECT count(*) FROM place) + k) % (SELECT count(*) FROM place) AS place FROM (SELECT DISTINCT row_idx FROM reset), unnest(range(0, 20)) AS t(k))
+    SELECT row_idx, col_idx FROM reset UNION SELECT row_idx, node FROM drawn JOIN place USING (place)"""
+)
+def seed_nodes(spark, d):
+    """The suppliers of each region and 20 random nodes of the supplier-part graph."""
+    reset = _region_seeds(spark, d).select(F.col("query").alias("row_idx"), F.col("node").cast("bigint").alias("col_idx"))
+    return graph.seed_nodes(reset, _supply_edges(spark, d).select(F.col("src").alias("node")), 20, 5)
+
 
 
 @query(
