@@ -6,6 +6,12 @@ Edges are (src, dst, weight), nodes are any type that can be joined. State of al
 
 from __future__ import annotations
 
+import hashlib
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +20,8 @@ from relweave.session import cut
 #: Rounds between two cuts of the lineage.
 CUT_EVERY = 5
 ROUNDS_A_PLAN = 2
+#: Edges of a graph that is broadcast to random walkers, at most.
+WALK_EDGES = 2_000_000
 #: Queries of PageRank that stand side by side in columns, at most.
 SIDE_BY_SIDE = 16
 
@@ -178,15 +186,20 @@ def walk_ranges(edges: DataFrame) -> DataFrame:
     A node has as many bins of equal width as edges, so that there are fewer than two rows per edge, and a uniform draw
     meets fewer than two on average, whatever the degree. ``dst_bins`` is null at a node without edges.
     """
-    w = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("src")
-    ranges = edges.filter("weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    ranges = cut(ranges.select("src", "dst", F.count("*").over(whole).cast("int").alias("bins"), ((F.sum("weight").over(w) - F.col("weight")) / F.sum("weight").over(whole)).alias("low"), (F.sum("weight").over(w) / F.sum("weight").over(whole)).alias("high")))
+    ranges = edge_ranges(edges)
     bins = ranges.select(F.col("src").alias("dst"), F.col("bins").alias("dst_bins")).distinct()
     reached = F.sequence(_bin("low", "bins"), _bin("high", "bins"))
     return ranges.join(bins, "dst", "left").select("src", F.explode(reached).alias("bin"), "dst", "low", "high", "dst_bins")
 
 
+def edge_ranges(edges: DataFrame) -> DataFrame:
+    """(src, dst, bins, low, high): each edge's range of cumulated probability at its source, and the source's edges, as a table."""
+    w = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("src")
+    ranges = edges.filter("weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return cut(ranges.select("src", "dst", F.count("*").over(whole).cast("int").alias("bins"), ((F.sum("weight").over(w) - F.col("weight")) / F.sum("weight").over(whole)).alias("low"), (F.sum("weight").over(w) / F.sum("weight").over(whole)).alias("high")))
+
+
 def _bin(x: str, bins: str) -> Column:
     return F.least(F.floor(F.col(x) * F.col(bins)), F.col(bins) - 1).cast("int")
 
@@ -196,11 +209,57 @@ def _with_visits(visits: DataFrame | None, state: DataFrame) -> DataFrame:
     return new if visits is None else visits.unionByName(new)
 
 
+def _local_walks(shipped, restart: float, length: int, seed: int):
+    """Batches of (start, walker) to (start, node, score), over edges that every worker has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, sources, dst, low, high = shipped.value
+
+        def draw(start, walker, step, purpose) -> float:
+            return int(hashlib.md5(f"{seed}-{start}-{walker}-{step}-{purpose}".encode()).hexdigest()[:12], 16) / 16**12
+
+        for batch in batches:
+            out = []
+            for start, walker in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                node, visits = start, {start: 1}
+                for step in range(1, length):
+                    here, u = sources.get(node), draw(start, walker, step, 0)
+                    node = start
+                    if here and draw(start, walker, step, 1) >= restart:
+                        at = bisect_right(high, u, *here)
+                        if at < here[1] and low[at] <= u:
+                            node = dst[at]
+                    visits[node] = visits.get(node, 0) + 1
+                out += [(start, n, float(v)) for n, v in visits.items()]
+            starts, nodes, scores = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(starts, kind), pa.array(nodes, kind), pa.array(scores, pa.float64())], ["start", "node", "score"])
+
+    return run
+
+
 def random_walks(edges: DataFrame, starts: DataFrame, restart: float = 0.5, length: int = 400, walkers: int = 1, seed: int = 1) -> DataFrame:
     """(start, node, score): visits of walks of ``length`` steps with restart from each start, by hash-seeded draws.
 
-    A step of all walkers is a join with the ranges of ``walk_ranges``; a walker at a node without edges restarts. The expectation of the visits is ``walk_expectation`` up to scale.
+    A walker at a node without edges restarts. The expectation of the visits is ``walk_expectation`` up to scale. A graph of at
+    most ``WALK_EDGES`` edges, between integer or text nodes, is broadcast, and each walker walks in one task. On a larger one
+    a step of all walkers is a join with the ranges of ``walk_ranges``. The draws, and so the visits, are the same.
     """
+    plain = cut(edges.select("src", "dst", "weight"))
+    kind = plain.schema["src"].dataType.simpleString()
+    if kind in ("bigint", "int", "string") and plain.count() <= WALK_EDGES:
+        rows = edge_ranges(plain).orderBy("src", "dst").toArrow()  # at most WALK_EDGES rows
+        src = rows.column("src").to_pylist()
+        sources: dict = {}
+        for k, node in enumerate(src):
+            sources[node] = (sources[node][0] if node in sources else k, k + 1)
+        dst = rows.column("dst").to_pylist() if kind == "string" else array("q", rows.column("dst").to_pylist())
+        low, high = (array("d", rows.column(c).to_pylist()) for c in ("low", "high"))
+        shipped = edges.sparkSession.sparkContext.broadcast((rows.schema.field("src").type, sources, dst, low, high))  # 24 bytes an edge
+        walking = starts.select(F.col("node").cast(kind).alias("start")).distinct().select("start", F.explode(F.sequence(F.lit(1), F.lit(walkers))).alias("walker"))
+        cores = edges.sparkSession.sparkContext.defaultParallelism
+        visits = walking.repartition(4 * cores).mapInArrow(_local_walks(shipped, restart, length, seed), f"start {kind}, node {kind}, score double")
+        return visits.groupBy("start", "node").agg(F.sum("score").alias("score"))
+    edges = plain
     ranges = cut(walk_ranges(edges))
     degrees = edges.filter("weight > 0").groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").cast("int").alias("bins"))
     # kept by source and bin, so that no step shuffles the edges again

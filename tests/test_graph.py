@@ -197,3 +197,15 @@ def test_choices_of_bounded_length(spark):
     r = spark.createDataFrame([(0, c, 1.0) for c in range(9)], "row_idx bigint, col_idx bigint, score double")
     paths = [tuple(x.path) for x in graph.multi_hop(r, hops=2).collect()]
     assert len(paths) == len(set(paths)) == 1 + 9 + 72
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_walks_are_the_same_either_way(spark, monkeypatch, kind):
+    """Over a broadcast graph and by joins: the same draws give the same visits; node 3 has no way out."""
+    rows = [(0, 1, 1.5), (1, 2, 1.0), (1, 0, 0.25), (2, 0, 2.0), (2, 3, 1.0), (1, 3, 0.0)]
+    e = spark.createDataFrame(rows, "src bigint, dst bigint, weight double").selectExpr(f"CAST(src AS {kind}) AS src", f"CAST(dst AS {kind}) AS dst", "weight")
+    starts = e.selectExpr("src AS node").union(e.selectExpr("dst AS node"))
+    walks = lambda: sorted(map(tuple, graph.random_walks(e, starts, 0.3, 30, 2, 5).collect()))
+    local = walks()
+    monkeypatch.setattr(graph, "WALK_EDGES", 0)
+    assert local == walks() and sum(r[2] for r in local) == 4 * 2 * 30
