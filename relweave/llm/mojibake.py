@@ -4,7 +4,7 @@ A character trigram model, smoothed by interpolation with bigrams, single charac
 on the clean records. A token with characters beyond ASCII gets a score as it stands and for what every chain of
 encoding and decoding makes of it. A chain either encodes with a single-byte encoding and decodes UTF-8, up to three
 times over, or reads the bytes of one single-byte encoding as another. The likeliest candidate is accepted if it gains
-more than a margin, in nats. The margin is validated on tokens of clean records kept from training: what chains make of
+more than a margin, in nats. The margin is validated on all tokens of clean records kept from training: what chains make of
 them as they stand must stay below it, and how many planted garblings reach it is reported.
 
 Nothing of this depends on more than a token between blanks. So every step works on the different tokens of the corpus
@@ -48,8 +48,10 @@ SLOTS = TRI + BI + UNI
 #: Shares of trigram, bigram, single character and uniform.
 SHARES = (0.62, 0.28, 0.095, 0.005)
 ALPHABET = 1 << 17
-#: One record in so many is kept from training; of their tokens at most HELD_TOKENS, the first by hash, validate the margin.
-HELD_ONE_IN, HELD_TOKENS = 20, 3000
+#: One record in so many is kept from training; all their tokens validate the margin.
+HELD_ONE_IN = 20
+#: No margin is less, in nats.
+LEAST_GAIN = 4.0
 #: Longer tokens are scored in pieces of about this length.
 LONGEST = 200
 #: No sequence of a chain is longer: four bytes, each of which two more steps write with three.
@@ -493,18 +495,56 @@ def best_candidates(model: Model, tokens: list[str], margin: Margin | None = Non
     return out
 
 
-def validate(model: Model, tokens: list[str], seed: int = 8) -> Margin:
-    """The margin that 999 of 1000 clean tokens stay below, 4 nats at least; ``recall`` is the share of garbled ones above it."""
+def _stakes(shipped):
+    """Tokens, the long ones in pieces, to (token, stake): what a character costs where a chain can change it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [p for t in batch.column(0).to_pylist() for p, _ in pieces(t) if not p.isascii()]
+            _, at_stake, n = shipped.value.scores(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(at_stake / np.maximum(n, 1), pa.float64())], ["token", "stake"])
+
+    return run
+
+
+def _gains(shipped, seed: int, planted: bool):
+    """Tokens to (clean, dirty): what they gain as they stand and garbled, -inf below ``LEAST_GAIN`` at best; ``dirty`` is null
+    where a token cannot be garbled as drawn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, margin = shipped.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                tokens = batch.column(0).slice(at, 500).to_pylist()
+                clean = [g for _, _, g in best_candidates(model, tokens, margin)]
+                dirty: list[float | None] = [None] * len(tokens)
+                if planted:
+                    drawn = [(k, g) for k, t in enumerate(tokens) if (g := garbled(t, random.Random(f"{seed}-{t}"))) and g != t]
+                    for (k, _), (_, _, gain) in zip(drawn, best_candidates(model, [g for _, g in drawn], margin)):
+                        dirty[k] = gain
+                yield pa.RecordBatch.from_arrays([pa.array(clean, pa.float64()), pa.array(dirty, pa.float64())], ["clean", "dirty"])
+
+    return run
+
+
+def validate(model: Model, tokens: DataFrame | list, seed: int = 8, planted: bool = True) -> Margin:
+    """The margin that 999 of 1000 clean tokens (token) stay below, 4 nats at least; ``recall`` is the share of garbled ones above it.
+
+    Every token counts. They are scored in tasks, and only counts and single values reach the driver. ``planted`` asks for the recall.
+    """
     if not tokens:
         return Margin(8.0, 0.5, 0.0, 0.0)
-    rng = random.Random(seed)
-    dirty_tokens = [g for t in tokens if (g := garbled(t, rng)) and g != t][:1500]
-    _, at_stake, n = model.scores(tokens)
-    best = float(np.quantile(at_stake / np.maximum(n, 1), 0.002))
-    clean = np.array([g for _, _, g in best_candidates(model, tokens)])
-    dirty = np.array([g for _, _, g in best_candidates(model, dirty_tokens)])
-    gain = max(4.0, float(np.sort(clean)[::-1][len(tokens) // 1000]))
-    return Margin(gain, best, float((clean > gain).mean()), float((dirty > gain).mean()) if len(dirty) else 0.0)
+    context = tokens.sparkSession.sparkContext
+    stakes = cut(_dealt(tokens).mapInArrow(_stakes(context.broadcast(model)), "token string, stake double"))
+    n = stakes.count()
+    if not n:
+        return Margin(8.0, 0.5, 0.0, 0.0)
+    best = stakes.select("stake").orderBy("stake").limit(1 + n // 500).agg(F.max("stake")).first()[0]
+    shipped = context.broadcast((model, Margin(LEAST_GAIN, best, 0.0, 0.0)))
+    gains = cut(_dealt(stakes.select("token")).mapInArrow(_gains(shipped, seed, planted), "clean double, dirty double"))
+    gain = max(LEAST_GAIN, gains.select("clean").orderBy(F.desc("clean")).limit(1 + n // 1000).agg(F.min("clean")).first()[0])
+    false, found = gains.agg(F.avg((F.col("clean") > gain).cast("double")), F.avg((F.col("dirty") > gain).cast("double"))).first()
+    return Margin(gain, best, false, found or 0.0)
 
 
 #: What the worker has found out about tokens, by model; workers outlive the tasks that use them.
@@ -577,16 +617,17 @@ def _scored(shipped):
     return run
 
 
-def garbled_tokens(tokens: DataFrame, fitted: tuple[Model, Margin]) -> DataFrame:
-    """(token, restored, chains) of the garbled ones among different tokens beyond ASCII, as a table.
-
-    A token costs much more to score than to move, so the tokens are dealt to many tasks, which adaptive execution does not
-    merge.
-    """
+def _dealt(tokens: DataFrame) -> DataFrame:
+    """A token costs much more to score than to move, so the tokens are dealt to many tasks, which adaptive execution does not
+    merge."""
     spark = tokens.sparkSession
-    shipped = spark.sparkContext.broadcast(fitted)  # two models of SLOTS numbers
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return cut(tokens.repartition(tasks, "token").mapInArrow(_scored(shipped), "token string, restored string, chains string"))
+    return tokens.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "token")
+
+
+def garbled_tokens(tokens: DataFrame, fitted: tuple[Model, Margin]) -> DataFrame:
+    """(token, restored, chains) of the garbled ones among different tokens beyond ASCII, as a table."""
+    shipped = tokens.sparkSession.sparkContext.broadcast(fitted)  # two models of SLOTS numbers
+    return cut(_dealt(tokens).mapInArrow(_scored(shipped), "token string, restored string, chains string"))
 
 
 def _rows(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -602,17 +643,14 @@ def _tokens(rows: DataFrame) -> DataFrame:
 def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Model, Margin]:
     """Train on all clean records, once more without the tokens beyond ASCII of records in which the first model finds garbled ones.
 
-    The margin is validated with the counts that leave the held-out records out; the model given out has these too.
+    The margin is validated on all tokens beyond ASCII of the held-out records, with the counts that leave these out; the model
+    given out has them too.
     """
     beyond, plain = clean_tokens(spread(_rows(documents, doc_id, text)))
     counted = cut(_counted(beyond))
-    held = counted.filter((F.col("held") == 1) & (F.length("token") <= 40)).select("token")
-    few = 1.2 * HELD_TOKENS / max(1, held.count())  # a share of the tokens that has enough of them, before the sort
-    if few < 1:
-        held = held.filter(F.pmod(F.xxhash64("token"), F.lit(1 << 30)) < int(few * (1 << 30)))
-    tokens = [r.token for r in held.orderBy(F.pmod(F.xxhash64("token"), F.lit(1 << 30)), "token").limit(HELD_TOKENS).collect()]
+    tokens = counted.filter("held = 1").select("token")
     part, _ = train(plain.unionByName(counted))
-    doubted = garbled_tokens(counted.select("token").distinct(), (part, validate(part, tokens)))
+    doubted = garbled_tokens(counted.select("token").distinct(), (part, validate(part, tokens, planted=False)))
     records = beyond.join(doubted.select("token"), "token", "left_semi").select("doc_id").distinct()
     part, whole = train(plain.unionByName(_counted(beyond.join(records, "doc_id", "left_anti"))))
     return whole, validate(part, tokens)

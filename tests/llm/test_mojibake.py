@@ -114,6 +114,20 @@ def test_every_clean_record_counts(spark):
     assert count("ไ") == n // 1000 and count("l") == n and count("é") == 2 * n
 
 
+def test_every_held_out_token_validates(spark, monkeypatch):
+    seen = []
+    validate = mojibake.validate
+    monkeypatch.setattr(mojibake, "validate", lambda model, tokens, *a, **k: seen.append((model, tokens)) or validate(model, tokens, *a, **k))
+    rows = spark.range(2000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 49), k -> concat('é', translate(hex(xxhash64(id, k)), '0123456789ABCDEF', 'abcdefghijklmnop')))) AS text")
+    _, margin = mojibake.fit(rows)
+    held = {t for r in rows.filter(f"pmod(xxhash64(doc_id, 3), {mojibake.HELD_ONE_IN}) = 0").collect() for t in r.text.split(" ") if not t.isascii()}
+    model, tokens = seen[-1]
+    tokens = {r.token for r in tokens.collect()} if hasattr(tokens, "collect") else set(tokens)
+    assert len(held) > 3000 and tokens == held
+    gains = sorted((g for _, _, g in mojibake.best_candidates(model, sorted(held))), reverse=True)
+    assert margin.gain == max(4.0, gains[len(held) // 1000]) and 0 < margin.recall <= 1
+
+
 def test_empty(spark, case):
     df, _ = case
     assert mojibake.garbled_documents(df.limit(0)).count() == 0
