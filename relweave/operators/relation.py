@@ -92,56 +92,74 @@ def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "inner").groupBy(R, C).agg(F.sum(F.col("x") * F.col("y")).alias(S))
 
 
-#: Cells of either factor that meet in one task, and sums that it holds at a time.
-LEFT_CELLS, RIGHT_CELLS, SUMS = 500_000, 2_000_000, 2_000_000
+#: Cells of either factor that meet in one task, and products that it sorts at a time; a column in so many at most is sorted.
+LEFT_CELLS, RIGHT_CELLS, SUMS, FEW = 500_000, 2_000_000, 2_000_000, 20
 
 
 def _best_of_block(k: int, digits: int):
-    """Cells (row_idx, inner, x) and (inner, col_idx, y) to the k best of each row of their product."""
+    """Cells (row_idx, inner, x) and (inner, col_idx, y) to the k best of each row of their product.
+
+    A row adds its products up in one array over the columns. What the k best columns of each of its inner indexes sum up
+    to bounds its k best from below, so that one comparison leaves few sums to round and sort. A row of few products sorts them
+    instead.
+    """
 
     def run(key, left, right):
         if not left.num_rows or not right.num_rows:
             return pa.table({R: pa.array([], pa.int64()), C: pa.array([], pa.int64()), S: pa.array([], pa.float64())})
-        inner = right.column("inner").to_numpy()
-        order = np.argsort(inner, kind="stable")
-        inner, y = inner[order], right.column("y").to_numpy()[order]
-        cols, col = np.unique(right.column(C).to_numpy()[order], return_inverse=True)
-        rows, row = np.unique(left.column(R).to_numpy(), return_inverse=True)
-        order = np.argsort(row, kind="stable")
-        row, wanted, x = row[order], left.column("inner").to_numpy()[order], left.column("x").to_numpy()[order]
+        inner, y = right.column("inner").to_numpy(), right.column("y").to_numpy()
+        cols, col = np.unique(right.column(C).to_numpy(), return_inverse=True)
+        order = np.lexsort((-y, inner))
+        best_col = col[order]
+        order = np.lexsort((col, inner))
+        inner, y, col = inner[order], y[order], col[order]
+        order = np.argsort(left.column(R).to_numpy(), kind="stable")
+        row, wanted, x = (left.column(c).to_numpy()[order] for c in (R, "inner", "x"))
         low, high = np.searchsorted(inner, wanted, "left"), np.searchsorted(inner, wanted, "right")
         some = high > low
-        row, x, low, n = row[some], x[some], low[some], (high - low)[some]
-        out, at, step = [], 0, max(1, SUMS // len(cols))
-        while at < len(row):
-            # whole rows, as many as have room for their sums and, beyond one, for their products
-            last = row[at] + step
-            to = int(np.searchsorted(row, last, "left"))
-            total = np.cumsum(n[at:to])
-            if total[-1] > 4 * SUMS:
-                fits = int(np.searchsorted(row, row[at + int(np.searchsorted(total, 4 * SUMS))], "left"))
-                to = fits if fits > at else int(np.searchsorted(row, row[at], "right"))
-            own, base = row[at:to] - row[at], row[at]
-            size = (own[-1] + 1) * len(cols)
-            sums, met = np.zeros(size), np.zeros(size, bool)
-            for part in np.split(np.arange(at, to), np.flatnonzero(np.diff(np.cumsum(n[at:to]) // (8 * SUMS))) + 1):
-                rep = np.repeat(part, n[part])
-                place = np.repeat(low[part] - (np.cumsum(n[part]) - n[part]), n[part]) + np.arange(len(rep))
-                flat = (row[rep] - base) * len(cols) + col[place]
-                sums += np.bincount(flat, x[rep] * y[place], minlength=size)
-                met[flat] = True
-            sums = np.where(met, np.round(sums, digits), -np.inf).reshape(-1, len(cols))
-            kth = -np.partition(-sums, min(k, len(cols)) - 1, axis=1)[:, min(k, len(cols)) - 1]
-            r, c = np.nonzero((sums >= kth[:, None]) & met.reshape(sums.shape))
-            best = np.lexsort((c, -sums[r, c], r))
-            r, c = r[best], c[best]
-            first = np.r_[True, r[1:] != r[:-1]] if len(r) else np.empty(0, bool)
-            rank = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0)) if len(r) else r
-            r, c = r[rank < k], c[rank < k]
-            out.append((rows[r + base], cols[c], sums[r, c]))
-            at = to
-        a, b, s = (np.concatenate(v) for v in zip(*out)) if out else (np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0))
-        return pa.table({R: a, C: b, S: s})
+        row, x, low, high = row[some], x[some], low[some], high[some]
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, "i8")
+        total = np.add.reduceat(high - low, starts) if len(row) else starts
+        ends, few = np.r_[starts[1:], len(row)], min(SUMS, len(cols) // FEW)
+        xs, lows, highs = x.tolist(), low.tolist(), high.tolist()
+        # what a quarter of the columns have is added as a whole
+        dense = {}
+        for at in np.flatnonzero(high - low > len(cols) // 4).tolist():
+            if lows[at] not in dense:
+                dense[lows[at]] = np.zeros(len(cols))
+                dense[lows[at]][col[lows[at] : highs[at]]] = y[lows[at] : highs[at]]
+        sums, part = np.zeros(len(cols)), np.empty(len(cols))
+        out_n, out_c, out_s = [], [], []
+        for first, end, n in zip(starts.tolist(), ends.tolist(), total.tolist()):
+            if n <= few:
+                c, place = np.unique(np.concatenate([col[lows[i] : highs[i]] for i in range(first, end)]), return_inverse=True)
+                s = np.bincount(place, np.concatenate([xs[i] * y[lows[i] : highs[i]] for i in range(first, end)]))
+            else:
+                sums.fill(0)
+                for i in range(first, end):
+                    if lows[i] in dense:
+                        sums += np.multiply(dense[lows[i]], xs[i], out=part)
+                    else:
+                        sums[col[lows[i] : highs[i]]] += xs[i] * y[lows[i] : highs[i]]
+                some = np.unique(np.concatenate([best_col[lows[i] : min(highs[i], lows[i] + k)] for i in range(first, end)]))
+                # a sum below this by more than rounding moves is not among the best
+                least = np.partition(sums[some], len(some) - k)[len(some) - k] - 10.0**-digits if len(some) >= k else 0.0
+                if least > 0:
+                    c = np.flatnonzero(sums >= least)
+                else:
+                    met = np.zeros(len(cols), bool)
+                    for i in range(first, end):
+                        met[col[lows[i] : highs[i]]] = True
+                    c = np.flatnonzero(met)
+                s = sums[c]
+            s = np.round(s, digits)
+            best = np.lexsort((c, -s))[:k]
+            out_n.append(len(best))
+            out_c.append(c[best])
+            out_s.append(s[best])
+        a = np.repeat(row[starts], out_n)
+        b, s = (np.concatenate(v) if v else np.empty(0, kind) for v, kind in ((out_c, "i8"), (out_s, "f8")))
+        return pa.table({R: a, C: cols[b], S: s})
 
     return run
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -139,6 +140,26 @@ def test_product_top_k_equals_product(spark, monkeypatch, limits):
     assert got(rel.multiply_top_k(cells(spark, a).limit(0), cells(spark, b), 4)) == got(rel.multiply_top_k(cells(spark, a), cells(spark, b).limit(0), 4)) == []
 
 
+def test_product_top_k_rounds_few_sums(monkeypatch):
+    """Of a row's sums only those that may be among the best are looked at one by one."""
+    rng = np.random.default_rng(2)
+    cells_b = [(i, j, rng.random()) for i in range(6) for j in range(5000) if i < 2 or rng.random() < 0.1]
+    left = pa.table({"row_idx": [r for r in range(40) for _ in range(3)], "inner": [i for _ in range(40) for i in rng.choice(6, 3, False).tolist()], "x": rng.random(120)})
+    right = pa.table({n: v for n, v in zip(("inner", "col_idx", "y"), zip(*cells_b))})
+    dense = np.zeros((6, 5000))
+    for i, j, v in cells_b:
+        dense[i, j] = v
+    x = np.zeros((40, 6))
+    for r, i, v in zip(*(left.column(c).to_pylist() for c in ("row_idx", "inner", "x"))):
+        x[r, i] = v
+    full, rounded, plain = np.round(x @ dense, 9), [], np.round
+    monkeypatch.setattr(rel.np, "round", lambda a, digits: rounded.append(np.size(a)) or plain(a, digits))
+    out = rel._best_of_block(10, 9)(None, left, right).to_pydict()
+    want = [(r, c, full[r, c]) for r in range(40) for c in np.lexsort((np.arange(5000), -full[r]))[:10]]
+    assert [(r, c) for r, c, _ in want] == list(zip(out["row_idx"], out["col_idx"])) and np.allclose([s for *_, s in want], out["score"], atol=1e-9)
+    assert sum(rounded) < 0.1 * full.size
+
+
 def test_running_sum_and_oversampling(spark):
     df = spark.createDataFrame([(k, k % 7) for k in range(500)], "k bigint, v int").repartition(9)
     rows = indexing.running_sum(df, ["k"], "v", "before").orderBy("k").collect()
