@@ -6,15 +6,15 @@ Edges are (src, dst, weight), nodes are any type that can be joined. State of al
 
 from __future__ import annotations
 
-import hashlib
-from array import array
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relweave.functions.draws import draws
 from relweave.session import cut
 
 #: Rounds between two cuts of the lineage.
@@ -22,6 +22,8 @@ CUT_EVERY = 5
 ROUNDS_A_PLAN = 2
 #: Edges of a graph that is broadcast to random walkers, at most.
 WALK_EDGES = 2_000_000
+#: Edges, and steps that are no restart, of a part of a larger graph, about.
+PART_EDGES, PART_STEPS = 1_000_000, 1_000_000
 #: Queries of PageRank that stand side by side in columns, at most.
 SIDE_BY_SIDE = 16
 
@@ -209,53 +211,176 @@ def _with_visits(visits: DataFrame | None, state: DataFrame) -> DataFrame:
     return new if visits is None else visits.unionByName(new)
 
 
+def _drawn(first: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """For each draw the edge of first..last - 1 whose range has it, -1 if none has."""
+    at, end = first.copy(), last.copy()
+    while (open_ := np.flatnonzero(at < end)).size:
+        mid = (at[open_] + end[open_]) >> 1
+        up = high[mid] <= u[open_]
+        at[open_[up]] = mid[up] + 1
+        end[open_[~up]] = mid[~up]
+    found = np.flatnonzero(at < last)
+    out = np.full(len(u), -1, "i8")
+    found = found[low[at[found]] <= u[found]]
+    out[found] = at[found]
+    return out
+
+
 def _local_walks(shipped, restart: float, length: int, seed: int):
     """Batches of (start, walker) to (start, node, score), over edges that every worker has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, sources, dst, low, high = shipped.value
+        names, first, dst, low, high = shipped.value
+        known = {name: k for k, name in enumerate(names.to_pylist())}
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                starts = batch.column(0).to_pylist()
+                others = [x for x in dict.fromkeys(starts) if x not in known]
+                places = known | {x: len(known) + k for k, x in enumerate(others)} if others else known
+                home = np.array([places[x] for x in starts], "i8")
+                edges = np.r_[first, np.full(len(others), first[-1])]  # others have none
+                u = draws(starts, batch.column(1).to_pylist(), length, restart, seed)
+                path = np.empty((len(home), length), "i8")
+                path[:, 0] = home
+                for step in range(1, length):
+                    path[:, step] = home
+                    go = np.flatnonzero(~np.isnan(u[:, step - 1]))
+                    at = path[go, step - 1]
+                    edge = _drawn(edges[at], edges[at + 1], low, high, u[go, step - 1])
+                    path[go[edge >= 0], step] = dst[edge[edge >= 0]]
+                path.sort(axis=1)
+                new = np.ones(path.shape, bool)
+                new[:, 1:] = path[:, 1:] != path[:, :-1]
+                at = np.flatnonzero(new)
+                n = np.diff(np.r_[at, path.size])
+                nodes = pa.concat_arrays([names, pa.array(others, names.type)]).take(pa.array(path.ravel()[at]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(names.type).take(pa.array(at // length)), nodes, pa.array(n.astype("f8"))], ["start", "node", "score"])
 
-        def draw(start, walker, step, purpose) -> float:
-            return int(hashlib.md5(f"{seed}-{start}-{walker}-{step}-{purpose}".encode()).hexdigest()[:12], 16) / 16**12
+    return run
 
-        for batch in batches:
-            out = []
-            for start, walker in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                node, visits = start, {start: 1}
-                for step in range(1, length):
-                    here, u = sources.get(node), draw(start, walker, step, 0)
-                    node = start
-                    if here and draw(start, walker, step, 1) >= restart:
-                        at = bisect_right(high, u, *here)
-                        if at < here[1] and low[at] <= u:
-                            node = dst[at]
-                    visits[node] = visits.get(node, 0) + 1
-                out += [(start, n, float(v)) for n, v in visits.items()]
-            starts, nodes, scores = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(starts, kind), pa.array(nodes, kind), pa.array(scores, pa.float64())], ["start", "node", "score"])
+
+def _chains(restart: float, length: int, seed: int, kind: pa.DataType):
+    """Batches of (start, walker) to (start, node, us, n): for each run of steps without a restart its start and its draws; a row
+    without draws has the visits that restarts, and the first step, pay to the start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                u = draws(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length, restart, seed)
+                on = ~np.isnan(u)
+                begins = on.copy()
+                begins[:, 1:] &= ~on[:, :-1]
+                begin = np.flatnonzero(begins)
+                offsets = np.r_[(np.cumsum(on.ravel()) - on.ravel())[begin], on.sum()].astype("i4")
+                row = begin // (length - 1) if length > 1 else begin
+                rows = np.r_[row, np.arange(batch.num_rows)]
+                us = pa.ListArray.from_arrays(pa.array(np.r_[offsets, np.full(batch.num_rows, offsets[-1], "i4")]), pa.array(u[on]))
+                n = np.r_[np.zeros(len(row), "i4"), 1 + (~on).sum(axis=1).astype("i4")]
+                names = batch.column(0).cast(kind).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([names, names, us, pa.array(n.astype("i4"))], ["start", "node", "us", "n"])
 
     return run
 
 
+def _part(key, edges):
+    """The edges (part, src, dst, weight) of some sources as one row: sources, where their edges start, ends of edges, ranges."""
+    edges = edges.sort_by([("src", "ascending"), ("dst", "ascending")])
+    src, dst = (edges.column(c).combine_chunks().dictionary_encode() for c in ("src", "dst"))
+    s, d = src.indices.to_numpy(zero_copy_only=False), dst.indices.to_numpy(zero_copy_only=False)
+    new = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (d[1:] != d[:-1])])
+    weight = np.add.reduceat(edges.column("weight").to_numpy(), new)
+    s = s[new]
+    first = np.r_[np.flatnonzero(np.r_[True, s[1:] != s[:-1]]), len(s)]
+    high = np.concatenate([np.cumsum(weight[a:b]) for a, b in zip(first[:-1], first[1:])])
+    total = np.repeat(high[first[1:] - 1], np.diff(first))
+    table = pa.table({"dst": edges.column("dst").combine_chunks().take(pa.array(new)), "low": (high - weight) / total, "high": high / total})
+    named = pa.table({"src": src.dictionary, "first": first[:-1].astype("i8")})
+    blobs = []
+    for t in (named, table):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as w:
+            w.write_table(t)
+        blobs.append(sink.getvalue().to_pybytes())
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sources": pa.array(blobs[:1], pa.binary()), "edges": pa.array(blobs[1:], pa.binary())})
+
+
+def _stepped(kind: pa.DataType):
+    """One step of chains (part, start, node, us) over the edges of their nodes: (start, node, us, n)."""
+
+    def run(key, state, part):
+        start, us = state.column("start").combine_chunks(), state.column("us").combine_chunks()
+        u, ends = us.flatten().to_numpy(zero_copy_only=False), np.cumsum(us.value_lengths().to_numpy(zero_copy_only=False))
+        begins = np.r_[0, ends[:-1]].astype("i8") if len(ends) else np.empty(0, "i8")
+        nodes = start
+        if part.num_rows and state.num_rows:
+            named, table = (pa.ipc.open_stream(part.column(c)[0].as_py()).read_all() for c in ("sources", "edges"))
+            place = pa.compute.index_in(state.column("node").combine_chunks(), named.column("src").combine_chunks()).fill_null(-1).to_numpy(zero_copy_only=False)
+            first = np.r_[named.column("first").to_numpy(), table.num_rows, table.num_rows]
+            # a node without edges stands last
+            place = np.where(place < 0, len(first) - 2, place)
+            edge = _drawn(first[place], first[place + 1], table.column("low").to_numpy(), table.column("high").to_numpy(), u[begins])
+            there = table.column("dst").combine_chunks().take(pa.array(edge, mask=edge < 0))
+            nodes = pa.compute.coalesce(there, start)
+        rest = np.ones(len(u), bool)
+        rest[begins] = False
+        offsets = np.r_[0, ends - np.arange(1, len(ends) + 1)].astype("i4")
+        return pa.table({"start": start, "node": nodes.cast(kind), "us": pa.ListArray.from_arrays(pa.array(offsets), pa.array(u[rest])), "n": pa.array(np.ones(len(ends), "i4"))})
+
+    return run
+
+
+def _walks_in_parts(edges: DataFrame, n_edges: int, walking: DataFrame, restart: float, length: int, seed: int) -> DataFrame:
+    """The visits of ``random_walks`` on a graph that no worker holds.
+
+    What is drawn at a step does not depend on the way there, and a restart leads to the start. So the runs of steps between
+    restarts are independent: all make their first step at once, then their second, and the rounds are as many as the
+    longest run has steps, not as the walk has; each has about half the steps of the one before. The edges of a part of the
+    nodes are one row of arrays.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    arrow = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    spark = edges.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    steps = int(walking.count() * length * (1 - restart))
+    parts = max(2 * cores, -(-n_edges // PART_EDGES), -(-steps // PART_STEPS))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int").alias("part")
+    own = edges.filter("weight > 0").select(part("src"), "src", F.col("dst").cast(kind).alias("dst"), F.col("weight").cast("double").alias("weight"))
+    graph = cut(own.repartition(parts, "part").groupBy("part").applyInArrow(_part, "part int, sources binary, edges binary"))
+    schema = f"start {kind}, node {kind}, us array<double>, n int"
+    state = cut(walking.repartition(4 * cores).mapInArrow(_chains(restart, length, seed, arrow), schema))
+    visits = state.select("start", "node", "n")
+    while not (left := state.filter("size(us) > 0")).isEmpty():
+        at = left.select(part("node"), "start", "node", "us").repartition(parts, "part").groupBy("part")
+        state = cut(at.cogroup(graph.repartition(parts, "part").groupBy("part")).applyInArrow(_stepped(arrow), schema))
+        visits = visits.unionByName(state.select("start", "node", "n"))
+    return visits.filter("n > 0").groupBy("start", "node").agg(F.sum("n").cast("double").alias("score"))
+
+
 def random_walks(edges: DataFrame, starts: DataFrame, restart: float = 0.5, length: int = 400, walkers: int = 1, seed: int = 1) -> DataFrame:
     """(start, node, score): visits of walks of ``length`` steps with restart from each start, by hash-seeded draws.
 
     A walker at a node without edges restarts. The expectation of the visits is ``walk_expectation`` up to scale. A graph of at
-    most ``WALK_EDGES`` edges, between integer or text nodes, is broadcast, and each walker walks in one task. On a larger one
-    a step of all walkers is a join with the ranges of ``walk_ranges``. The draws, and so the visits, are the same.
+    most ``WALK_EDGES`` edges, between integer or text nodes, is broadcast, and each walker walks in one task. A larger one is
+    walked in parts, see ``_walks_in_parts``. Between other nodes a step of all walkers is a join with the ranges of
+    ``walk_ranges``. The draws, and so the visits, are the same.
     """
     plain = cut(edges.select("src", "dst", "weight"))
     kind = plain.schema["src"].dataType.simpleString()
-    if kind in ("bigint", "int", "string") and plain.count() <= WALK_EDGES:
-        rows = edge_ranges(plain).orderBy("src", "dst").toArrow()  # at most WALK_EDGES rows
-        src = rows.column("src").to_pylist()
-        sources: dict = {}
-        for k, node in enumerate(src):
-            sources[node] = (sources[node][0] if node in sources else k, k + 1)
-        dst = rows.column("dst").to_pylist() if kind == "string" else array("q", rows.column("dst").to_pylist())
-        low, high = (array("d", rows.column(c).to_pylist()) for c in ("low", "high"))
-        shipped = edges.sparkSession.sparkContext.broadcast((rows.schema.field("src").type, sources, dst, low, high))  # 24 bytes an edge
+    if kind in ("bigint", "int", "string"):
+        n_edges = plain.count()
         walking = starts.select(F.col("node").cast(kind).alias("start")).distinct().select("start", F.explode(F.sequence(F.lit(1), F.lit(walkers))).alias("walker"))
+        if n_edges > WALK_EDGES:
+            return _walks_in_parts(plain, n_edges, cut(walking), restart, length, seed)
+        rows = edge_ranges(plain).withColumn("dst", F.col("dst").cast(kind)).orderBy("src", "dst").toArrow()  # at most WALK_EDGES rows
+        src, dst = (rows.column(c).combine_chunks() for c in ("src", "dst"))
+        names = pa.concat_arrays([src, dst]).unique()
+        places = [pa.compute.index_in(c, names).to_numpy(zero_copy_only=False).astype("i8") for c in (src, dst)]
+        # the sources come first, in the order of their edges
+        first = np.r_[0, np.cumsum(np.bincount(places[0], minlength=len(names)))].astype("i8")
+        low, high = (rows.column(c).to_numpy() for c in ("low", "high"))
+        shipped = edges.sparkSession.sparkContext.broadcast((names, first, places[1], low, high))  # 24 bytes an edge
         cores = edges.sparkSession.sparkContext.defaultParallelism
         visits = walking.repartition(4 * cores).mapInArrow(_local_walks(shipped, restart, length, seed), f"start {kind}, node {kind}, score double")
         return visits.groupBy("start", "node").agg(F.sum("score").alias("score"))

@@ -209,3 +209,30 @@ def test_walks_are_the_same_either_way(spark, monkeypatch, kind):
     local = walks()
     monkeypatch.setattr(graph, "WALK_EDGES", 0)
     assert local == walks() and sum(r[2] for r in local) == 4 * 2 * 30
+
+
+def test_draws_are_those_of_md5():
+    import hashlib
+
+    from relweave.functions.draws import draws
+
+    one = lambda *parts: int(hashlib.md5("-".join(map(str, parts)).encode()).hexdigest()[:12], 16) / 16**12
+    for starts in ([7, -12, 123456789], ["a", "дом", "x" * 60, ""]):
+        u = draws(starts, [1, 2, 1, 4][: len(starts)], 120, 0.4, 3)
+        for i, (s, w) in enumerate(zip(starts, [1, 2, 1, 4])):
+            want = [one(3, s, w, k, 0) if one(3, s, w, k, 1) >= 0.4 else None for k in range(1, 120)]
+            assert [None if np.isnan(x) else x for x in u[i]] == want
+
+
+def test_rounds_of_a_large_graph_are_few(spark, monkeypatch):
+    """A round for each step of the longest run without a restart, not for each step of the walk."""
+    tables = []
+    table = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: tables.append(1) or table(df))
+    e = spark.createDataFrame([(k, (k + j) % 7, 1.0 + j) for k in range(7) for j in (1, 2)], "src bigint, dst bigint, weight double")
+    walks = lambda: sorted(map(tuple, graph.random_walks(e, e.selectExpr("src AS node"), 0.5, 200, 1, 5).collect()))
+    local = walks()
+    tables.clear()
+    monkeypatch.setattr(graph, "WALK_EDGES", 0)
+    assert walks() == local and sum(r[2] for r in local) == 7 * 200
+    assert len(tables) < 25
