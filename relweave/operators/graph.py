@@ -75,7 +75,9 @@ def assemble(fact: DataFrame, passage: DataFrame, synonym: DataFrame, nodes: Dat
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each edge in both directions, parallel ones added up."""
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    # not a union, which would compute the edges twice
+    ends = F.explode(F.array(F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    both = edges.select(ends.alias("e"), "weight").select("e.src", "e.dst", "weight")
     return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 

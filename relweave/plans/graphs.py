@@ -198,7 +198,7 @@ def node_rank_parts(spark, d):
 @query(_walk_sql(f"SELECT DISTINCT col_idx AS node FROM ({_RESET})", 100) + ", " + _MIXED.format(seeds=f"({_RESET})", where=""))
 def node_rank_walk(spark, d):
     """Walks over suppliers and parts, restarting to the regions' suppliers."""
-    forward = cut(_supply_edges(spark, d).select(F.col("src").alias("row_idx"), F.col("dst").alias("col_idx"), F.col("weight").alias("score")))
+    forward = _supply_edges(spark, d).select(F.col("src").alias("row_idx"), F.col("dst").alias("col_idx"), F.col("weight").alias("score"))
     reset = _region_seeds(spark, d).select(F.col("query").alias("row_idx"), F.col("node").cast("bigint").alias("col_idx"), F.col("weight").alias("score"))
     return rounded(graph.node_rank_walks(reset, forward, seed=3))
 

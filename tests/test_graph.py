@@ -236,3 +236,10 @@ def test_rounds_of_a_large_graph_are_few(spark, monkeypatch):
     monkeypatch.setattr(graph, "WALK_EDGES", 0)
     assert walks() == local and sum(r[2] for r in local) == 7 * 200
     assert len(tables) < 25
+
+
+def test_undirected_computes_its_edges_once(spark):
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 2.0), ("c", "c", 1.0)], "src string, dst string, weight double").groupBy("src", "dst").max("weight").toDF("src", "dst", "weight")
+    out = graph.undirected(e)
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [("a", "b", 3.0), ("b", "a", 3.0), ("c", "c", 2.0)]
